@@ -39,3 +39,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table (a file or a folder) of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, tasks_per_core: int = 3) -> DataFrame:
+    """``df`` over enough tasks for work that is heavy per row, where its files are fewer than the cores.
+
+    A scan that has as many tasks as cores is left alone, so a large table is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(tasks_per_core * cores)
