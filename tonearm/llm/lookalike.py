@@ -81,9 +81,13 @@ def build_mapping() -> dict[str, str]:
 
 
 @functools.cache
-def _compiled() -> tuple[dict[str, str], int]:
+def _compiled() -> tuple[dict[str, str], int, regex.Pattern]:
+    """The mapping, its longest source, and what a text must hold for the walk to change anything."""
     table = build_mapping()
-    return table, max(map(len, table))
+    single = "".join(sorted(regex.escape(c) for c in table if len(c) == 1))
+    latin, other = r"A-Za-z\u00c0-\u024f\u1e00-\u1eff", r"\u0370-\u052f\u1f00-\u1fff"
+    suspect = regex.compile(rf"[{single}\ufe00-\ufe0f\p{{M}}]|[{latin}][{other}]|[{other}][{latin}]|[\u0370-\u03ff\u1f00-\u1fff][\u0400-\u052f]|[\u0400-\u052f][\u0370-\u03ff\u1f00-\u1fff]|[\u1100-\u11ff]")
+    return table, max(map(len, table)), suspect
 
 
 def _script(ch: str) -> str:
@@ -138,7 +142,9 @@ def canonical(text: str | None) -> str | None:
     """``text`` in its one form; null stays null, pure ASCII is returned as it is."""
     if text is None or text.isascii():
         return text
-    table, longest = _compiled()
+    table, longest, suspect = _compiled()
+    if not suspect.search(text):
+        return text
     pieces: list[list[str] | str] = []
     word: list[str] = []
 

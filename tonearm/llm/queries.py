@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import lookalike, ranking
+from tonearm.llm import leakage, lookalike, ranking
 from tonearm.plans.staging import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     """Every non-null cell with its one form."""
     return lookalike.unify(_cells(spark, d).where("text is not null"), ["text"]).select("field", "rec_id", F.col("text_canonical").alias("canonical"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the held-out items they give away."""
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
