@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import leakage, lookalike, ranking
+from tonearm.llm import language, leakage, lookalike, mixing, ranking
 from tonearm.plans.staging import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,48 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the held-out items they give away."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of the target mix that cannot reach their share."""
+    _, report = mixing.balance(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return report.where(~F.col("reachable")).select("source")
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of a target source with its copies in the mix."""
+    mix, _ = mixing.balance(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mix.select("doc_id", "source", "tokens", "copies")
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of every source."""
+    _, report = mixing.balance(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return report.select("source", "documents", "tokens", "capacity", "reachable", "mixed_tokens", F.round("target_share", 6).alias("target_share"), F.round("share", 6).alias("share"))
+
+
+def _stretches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame | None]:
+    docs = table(spark, d, "documents")
+    model = language.train(docs)
+    return docs, language.stretches(docs, model) if model else None
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of documents whose label is missing or wrong, and of those in several languages."""
+    docs, segments = _stretches(spark, d)
+    if segments is None:
+        return spark.createDataFrame([], "doc_id long, lang string")
+    return language.corrected(docs, segments).select("doc_id", "lang")
+
+
+@query
+def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its language and confidence."""
+    _, segments = _stretches(spark, d)
+    if segments is None:
+        return spark.createDataFrame([], "doc_id long, segment int, lang string, n_sentences int, confidence double")
+    return segments.select("doc_id", "segment", "lang", "n_sentences", F.round("confidence", 6).alias("confidence"))
