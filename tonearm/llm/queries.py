@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import language, leakage, lookalike, mixing, ranking
+from tonearm.llm import language, leakage, lookalike, mixing, quantise, ranking
 from tonearm.plans.staging import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,27 @@ def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
     if segments is None:
         return spark.createDataFrame([], "doc_id long, segment int, lang string, n_sentences int, confidence double")
     return segments.select("doc_id", "segment", "lang", "n_sentences", F.round("confidence", 6).alias("confidence"))
+
+
+FIELDS = (("tracks", "embedding", 0.06), ("sections", "embedding", 0.06), ("tracks", "taste_vec", 0.02))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Close pairs of each vector field of which one is among the ten nearest of the other."""
+    parts = []
+    for name, column, limit in FIELDS:
+        pairs = quantise.close_pairs(table(spark, d, name), "id", column, 10, limit)
+        parts.append(pairs.select(F.lit(f"{name}.{column}").alias("vec_field"), "id_a", "id_b"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest rows, however far, of every row whose id is divisible by 100."""
+    parts = []
+    for name, column, _ in FIELDS:
+        t = table(spark, d, name)
+        near = quantise.neighbours(t, "id", column, 10, queries=t.select("id").where("id % 100 = 0"), rule=quantise.Quantiser(probes=16, beam=16))
+        parts.append(near.select(F.lit(f"{name}.{column}").alias("vec_field"), "id", "neighbour", F.round("distance", 5).alias("distance")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
