@@ -138,7 +138,7 @@ def encoded(vectors: DataFrame, books: np.ndarray, rule: Quantiser) -> DataFrame
     return vectors.mapInPandas(run, CODED)
 
 
-def search(queries: np.ndarray, members: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+def search(queries: np.ndarray, members: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, k: int, rerank: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
     """Places (queries, <= k) and exact cosine distances of the nearest members.
 
     Scores come from the lookup table of query-codeword products, summed over the codes, and the stored norms;
@@ -152,6 +152,8 @@ def search(queries: np.ndarray, members: np.ndarray, codes: np.ndarray, norms: n
     n = min(rerank, len(members))
     top = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(members) else np.broadcast_to(np.arange(n), score.shape)
     d = 1 - np.einsum("qd,qnd->qn", queries, members[top])
+    if least > 0:
+        d = np.where(d < least, 9, d)
     order = np.argsort(d, axis=1, kind="stable")[:, :k]
     return np.take_along_axis(top, order, axis=1), np.take_along_axis(d, order, axis=1)
 
@@ -185,10 +187,10 @@ def _clean(df: DataFrame, id_col: str, vec: str) -> DataFrame:
 PAIRS = "id long, neighbour long, distance double"
 
 
-def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distance: float | None = None, queries: DataFrame | None = None, rule: Quantiser = Quantiser()) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distance: float | None = None, min_distance: float | None = None, queries: DataFrame | None = None, rule: Quantiser = Quantiser()) -> DataFrame:
     """(id, neighbour, distance): for each query row the ``k`` other rows of ``df`` nearest by cosine distance, ties by id.
 
-    ``queries``: a frame whose first column has the ids to search for (all rows when None). ``max_distance``: leave out farther ones.
+    ``queries``: a frame whose first column has the ids to search for (all rows when None). ``max_distance``: leave out farther ones; ``min_distance``: leave out nearer ones, copies too.
     The codebooks are fitted on a sample of at most ``rule.sample`` vectors; every vector is filed and searched.
 
     Defined cases: rows without id, vector or direction (null, empty, zero, NaN, infinite) take no part; rows
@@ -223,7 +225,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     home = home.select("cell", "id", "v", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("float").alias("scale"), "code", "norm", "asks")
     both = home.unionByName(visit.select("cell", "id", F.lit(None).cast("binary").alias("v"), "q", "scale", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), F.lit(True).alias("asks")))
     sent = spark.sparkContext.broadcast(books)
-    limit = 3.0 if max_distance is None else max_distance
+    limit, least = 3.0 if max_distance is None else max_distance, -1.0 if min_distance is None else min_distance
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
@@ -241,7 +243,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
                 q, who = np.vstack([q, f]), np.r_[who, foreign["id"].to_numpy()]
             step = max(1, 400_000 // len(m))
             for start in range(0, len(q), step):
-                at, d = search(q[start : start + step], x, codes, norms, own, k + 1, rule.rerank)
+                at, d = search(q[start : start + step], x, codes, norms, own, k + 1, rule.rerank, least)
                 asker = np.repeat(who[start : start + step], at.shape[1])
                 found, d = ids[at].ravel(), d.ravel().clip(0)
                 keep = (found != asker) & (d <= limit)
@@ -252,10 +254,10 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     first = lambda f: f.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
     between = first(found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")))
-    return _expanded(rows, classes, between, k, first, queries)
+    return _expanded(rows, classes, between, k, first, queries, least)
 
 
-def _expanded(rows: DataFrame, classes: DataFrame, between: DataFrame, k: int, first, queries: DataFrame | None) -> DataFrame:
+def _expanded(rows: DataFrame, classes: DataFrame, between: DataFrame, k: int, first, queries: DataFrame | None, least: float) -> DataFrame:
     """Neighbours of classes brought back to their members."""
     shared = classes.where("id < last").select("h", "g", F.col("id").alias("rep"))
     members = stage(rows.select("h", "g", "id").join(shared, ["h", "g"]).select("rep", "id").distinct(), "copies")
@@ -267,7 +269,7 @@ def _expanded(rows: DataFrame, classes: DataFrame, between: DataFrame, k: int, f
         inside = members.join(heads.withColumnRenamed("id", "neighbour"), "rep").where(F.col("id") != F.col("neighbour")).select("id", "neighbour", F.lit(0.0).alias("distance"))
         asking = between.join(members.select(F.col("rep").alias("id"), F.col("id").alias("member")), "id", "left").select(F.coalesce("member", "id").alias("id"), "neighbour", "distance")
         outside = asking.join(heads.select(F.col("rep").alias("neighbour"), F.col("id").alias("other")), "neighbour", "left").select("id", F.coalesce("other", "neighbour").alias("neighbour"), "distance")
-        out = first(outside.unionByName(inside).where(F.col("id") != F.col("neighbour")).groupBy("id", "neighbour").agg(F.min("distance").alias("distance")))
+        out = first((outside if least > 0 else outside.unionByName(inside)).where(F.col("id") != F.col("neighbour")).groupBy("id", "neighbour").agg(F.min("distance").alias("distance")))
     if queries is not None:
         out = out.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
     return out

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import language, leakage, lookalike, mixing, quantise, ranking
+from tonearm.llm import language, leakage, lookalike, mixing, quantise, ranking, spectral
+from tonearm.plans import staging
 from tonearm.plans.staging import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,30 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
         near = quantise.neighbours(t, "id", column, 10, queries=t.select("id").where("id % 100 = 0"), rule=quantise.Quantiser(probes=16, beam=16))
         parts.append(near.select(F.lit(f"{name}.{column}").alias("vec_field"), "id", "neighbour", F.round("distance", 5).alias("distance")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+TRACK_FIELDS = (("embedding", 0.06), ("taste_vec", 0.02))
+
+
+def _groups(spark: SparkSession, d: str, column: str) -> DataFrame:
+    return staging.stage(spectral.grouped(table(spark, d, "tracks"), "id", column), "groups")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Probes whose two tracks fall into the same group."""
+    parts = []
+    probes = table(spark, d, "cluster_probes").select("vec_field", "track_a", "track_b").distinct()
+    for column, _ in TRACK_FIELDS:
+        own = probes.where(F.col("vec_field") == f"tracks.{column}")
+        parts.append(spectral.together(own, _groups(spark, d, column), "track_a", "track_b"))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each group of tracks with its size and five most typical tracks."""
+    parts = []
+    for column, _ in TRACK_FIELDS:
+        parts.append(spectral.described(_groups(spark, d, column)).withColumn("vec_field", F.lit(f"tracks.{column}")))
+    return parts[0].unionByName(parts[1]).select("vec_field", "group", "size", "typical")
