@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import language, leakage, lookalike, mixing, quantise, ranking, spectral
+from tonearm.llm import language, leakage, lookalike, mixing, names, quantise, ranking, spectral
 from tonearm.plans import staging
 from tonearm.plans.staging import table
 
@@ -154,3 +154,15 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     for column, _ in TRACK_FIELDS:
         parts.append(spectral.described(_groups(spark, d, column)).withColumn("vec_field", F.lit(f"tracks.{column}")))
     return parts[0].unionByName(parts[1]).select("vec_field", "group", "size", "typical")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one person or group."""
+    return names.entity_pairs(staging.stage(names.linked(table(spark, d, "artist_credits")), "entities"))
+
+
+@query
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with its entity and the posterior of the attribution."""
+    return names.linked(table(spark, d, "artist_credits")).select("id", "entity", F.round("posterior", 6).alias("posterior"))
