@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.llm import language, leakage, lookalike, mixing, names, quantise, ranking, spectral
+from tonearm.llm import language, leakage, lookalike, mixing, names, quantise, ranking, recordings, spectral
 from tonearm.plans import staging
 from tonearm.plans.staging import table
 
@@ -166,3 +166,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     """Each spelling with its entity and the posterior of the attribution."""
     return names.linked(table(spark, d, "artist_credits")).select("id", "entity", F.round("posterior", 6).alias("posterior"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each review with the files of the same recording."""
+    return recordings.matched(table(spark, d, "pending_taste"), table(spark, d, "tracks")).select("pending_id", "track_id")
+
+
+@query
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each match with the rule that made it and its confidence."""
+    return recordings.matched(table(spark, d, "pending_taste"), table(spark, d, "tracks")).withColumn("confidence", F.round("confidence", 6))
