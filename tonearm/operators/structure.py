@@ -25,8 +25,12 @@ def downbeats(beats: Column, phase: Column) -> Column:
 
 def downbeat_phase(accents: Column) -> Column:
     """The phase of four with the greatest mean accent, the first on ties; 0 for fewer than four beats."""
-    means = [F.aggregate(F.filter(accents, lambda x, i, p=p: F.pmod(i, F.lit(4)) == p), F.lit(0.0), lambda s, v: s + v) / F.greatest(F.lit(1), F.ceil((F.size(accents) - p) / 4.0)) for p in range(4)]
-    arr = F.array(*means)
+
+    def mean(p: int) -> Column:
+        own = F.filter(accents, lambda x, i: F.pmod(i, F.lit(4)) == p)
+        return F.aggregate(own, F.lit(0.0), lambda s, v: s + v) / F.greatest(F.lit(1), F.size(own))
+
+    arr = F.array(*map(mean, range(4)))
     return F.when(F.size(accents) < 4, 0).otherwise(F.array_position(arr, F.array_max(arr)).cast("int") - 1)
 
 
