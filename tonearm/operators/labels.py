@@ -41,7 +41,7 @@ def uncertainty(tracks: DataFrame, k: int = 8) -> DataFrame:
     near = _near(tracks, k).groupBy("qid").agg(F.avg("sim").alias("m"), F.stddev_pop("rating").alias("s"))
     u = 1 - F.greatest(F.least("m", F.lit(1.0)), F.lit(0.0)) + F.coalesce("s", F.lit(0.0)) / 4
     joined = untagged(tracks).select("id", "path").join(near, F.col("id") == F.col("qid"), "left")
-    return joined.select("id", "path", F.coalesce(F.greatest(F.least(u, F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("uncertainty"))
+    return joined.select("id", "path", F.when(F.col("m").isNull(), 1.0).otherwise(F.greatest(F.least(u, F.lit(1.0)), F.lit(0.0))).alias("uncertainty"))
 
 
 def labeling_queue(tracks: DataFrame, n: int = 20, k: int = 8) -> DataFrame:
