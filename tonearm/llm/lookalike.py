@@ -15,6 +15,7 @@ script; real words wholly in another script stay.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import pandas as pd
@@ -81,13 +82,15 @@ def build_mapping() -> dict[str, str]:
 
 
 @functools.cache
-def _compiled() -> tuple[dict[str, str], int, regex.Pattern]:
-    """The mapping, its longest source, and what a text must hold for the walk to change anything."""
+def _compiled() -> tuple[dict[str, str], int, frozenset[str], frozenset[str], re.Pattern]:
+    """The mapping, its longest source, and what a text must hold for the walk to change anything:
+    a character that is a source or a mark; or, where there are Greek or Cyrillic letters at all, one beside a letter of another script."""
     table = build_mapping()
-    single = "".join(sorted(regex.escape(c) for c in table if len(c) == 1))
-    latin, other = r"A-Za-z\u00c0-\u024f\u1e00-\u1eff", r"\u0370-\u052f\u1f00-\u1fff"
-    suspect = regex.compile(rf"[{single}\ufe00-\ufe0f\p{{M}}]|[{latin}][{other}]|[{other}][{latin}]|[\u0370-\u03ff\u1f00-\u1fff][\u0400-\u052f]|[\u0400-\u052f][\u0370-\u03ff\u1f00-\u1fff]|[\u1100-\u11ff]")
-    return table, max(map(len, table)), suspect
+    marks = [chr(c) for c in (*range(0x300, 0xAC00), *range(0x1100, 0x1200), *range(0xFE00, 0xFE30)) if unicodedata.category(chr(c))[0] == "M" or 0x1100 <= c < 0x1200]
+    latin, greek, cyrillic = r"A-Za-z\u00c0-\u024f\u1e00-\u1eff", r"\u0370-\u03ff\u1f00-\u1fff", r"\u0400-\u052f"
+    pairs = "|".join(f"[{x}][{y}]" for x in (latin, greek, cyrillic) for y in (latin, greek, cyrillic) if x != y)
+    others = frozenset(map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))))
+    return table, max(map(len, table)), frozenset({c for c in table if len(c) == 1} | set(marks)), others, re.compile(pairs)
 
 
 def _script(ch: str) -> str:
@@ -142,8 +145,8 @@ def canonical(text: str | None) -> str | None:
     """``text`` in its one form; null stays null, pure ASCII is returned as it is."""
     if text is None or text.isascii():
         return text
-    table, longest, suspect = _compiled()
-    if not suspect.search(text):
+    table, longest, sources, others, mixed_pair = _compiled()
+    if sources.isdisjoint(text) and (others.isdisjoint(text) or not mixed_pair.search(text)):
         return text
     pieces: list[list[str] | str] = []
     word: list[str] = []
