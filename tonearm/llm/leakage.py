@@ -12,6 +12,7 @@ that word, before both the search and the alignment.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ _WORD = regex.compile(r"[^\W_]+")
 class Overlap:
     """When a document gives a passage away.
 
-    ``window`` and ``stride``: words of a query. ``retrieve``: least BM25 of a window.
+    ``window`` and ``stride``: words of a query. ``retrieve``: least BM25 of a window. ``block``: passages or postings in a block, ``table``: most cells of the table of block maxima.
     ``words``: least aligned words (a shorter passage must be there wholly), ``score``: least alignment score.
     """
 
@@ -44,7 +45,8 @@ class Overlap:
     score: float = 14.0
     k1: float = 1.2
     b: float = 0.5
-    block: int = 16
+    block: int = 4
+    table: int = 8_000_000
     passage_gap: float = 1.5
     document_gap: float = 0.4
     jump: float = 3.0
@@ -92,6 +94,14 @@ class PassageIndex:
                 postings[self.vocabulary[w]].append((p, idf * tf * (rule.k1 + 1) / (tf + rule.k1 * (1 - rule.b + rule.b * lengths[p] / mean))))
         self.postings = postings
         self.impact = [dict(pl) for pl in postings]
+        self.places = [[p for p, _ in pl] for pl in postings]
+        wide = -(-max(1, n) // rule.block)
+        self.bounds = None
+        if len(postings) * wide <= rule.table:  # maxima by block of passages, for skipping whole blocks in one sum
+            self.bounds = np.zeros((len(postings), wide), dtype=np.float32)
+            for t, pl in enumerate(postings):
+                for p, x in pl:
+                    self.bounds[t, p // rule.block] = max(self.bounds[t, p // rule.block], x)
         self.best = [max(x for _, x in pl) for pl in postings]
         self.blocks = [[(pl[min(k + rule.block, len(pl)) - 1][0], max(x for _, x in pl[k : k + rule.block])) for k in range(0, len(pl), rule.block)] for pl in postings]
         self.near: dict[str, set[str]] = {}
@@ -116,8 +126,18 @@ class PassageIndex:
             self.known[word] = found
         return found
 
-    def search(self, terms: list[int]) -> Iterator[int]:
-        """Block-max WAND: the passages whose BM25 with ``terms`` is at least the threshold."""
+    def ranges(self, terms: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of passages in whose blocks the terms' block maxima add up to the threshold; everything else is skipped."""
+        if self.bounds is None:
+            return [(0, len(self.ids))]
+        good = np.flatnonzero(self.bounds[terms].sum(0) >= self.rule.retrieve - 1e-4)
+        if not len(good):
+            return []
+        cuts = np.flatnonzero(np.diff(good) > 1) + 1
+        return [(int(g[0]) * self.rule.block, min((int(g[-1]) + 1) * self.rule.block, len(self.ids))) for g in np.split(good, cuts)]
+
+    def search(self, terms: list[int], first: int = 0, end: int | None = None) -> Iterator[int]:
+        """Block-max WAND: the passages from ``first`` up to ``end`` whose BM25 with ``terms`` is at least the threshold."""
         full = self.rule.retrieve
         terms = sorted(terms, key=self.best.__getitem__)
         if sum(self.best[t] for t in terms) < full:
@@ -128,9 +148,10 @@ class PassageIndex:
             minor += 1
         looked_up, lists = terms[:minor], terms[minor:]
         need = full - spare
-        at = {t: 0 for t in lists}
-        block = {t: 0 for t in lists}
-        end = len(self.ids)
+        end = len(self.ids) if end is None else end
+        at = {t: bisect.bisect_left(self.places[t], first) for t in lists}
+        lists = [t for t in lists if at[t] < len(self.places[t]) and self.places[t][at[t]] < end]
+        block = {t: at[t] // self.rule.block for t in lists}
         where = lambda t: self.postings[t][at[t]][0] if at[t] < len(self.postings[t]) else end
 
         def move(t: int, to: int) -> None:
@@ -153,6 +174,8 @@ class PassageIndex:
             if pivot is None:
                 return
             p = where(lists[pivot])
+            if p >= end:
+                return
             while pivot + 1 < len(lists) and where(lists[pivot + 1]) == p:
                 pivot += 1
             bound, reach = 0.0, end
@@ -184,55 +207,52 @@ class PassageIndex:
         found: set[int] = set()
         for start in range(0, max(1, len(doc) - self.rule.window + self.rule.stride), self.rule.stride):
             terms = np.unique(doc[start : start + self.rule.window])
-            found.update(self.search(terms[terms >= 0].tolist()))
+            terms = terms[terms >= 0]
+            for lo, hi in self.ranges(terms) if len(terms) else ():
+                found.update(self.search(terms.tolist(), lo, hi))
         return found
 
-    def align(self, p: int, doc: np.ndarray) -> tuple[float, int]:
-        """Score and aligned words of the best chain of passage words in their order.
+    def align(self, ps: list[int], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each passage, score and aligned words of the best chain of its words in their order.
 
         An aligned word gives 1; a passage word left out costs ``passage_gap``, a document word in between
-        ``document_gap`` up to ``jump``, so a passage may be broken up by other text.
+        ``document_gap`` up to ``jump``, so a passage may be broken up by other text. Costs are whole tenths, so the number of
+        aligned words is carried in the digits after them.
         """
-        r, own = self.rule, self.own[p]
-        at = np.flatnonzero(own[doc])  # -1, no passage word, reads the last place, which is False
-        doc, place, n = doc[at], at, len(at)
-        index = np.arange(n)
-        best = np.full(n, -1e9)
-        count = np.zeros(n, dtype=np.int32)
-        top, words = 0.0, 0
-        for w in self.words[p]:
-            near = best + r.document_gap * place
-            a = np.maximum.accumulate(near)
-            ia = np.maximum.accumulate(np.where(near >= a, index, 0))
-            b = np.maximum.accumulate(best)
-            ib = np.maximum.accumulate(np.where(best >= b, index, 0))
-            hits = np.flatnonzero(doc == w)
-            best = best - r.passage_gap
-            if len(hits) == 0:
+        r, one = self.rule, 1 + 1e-5
+        place = np.flatnonzero(self.own[ps].any(0)[doc])  # -1, no passage word, reads the last place, which is False
+        doc, n = doc[place], len(place)
+        if not n:
+            return np.zeros(len(ps)), np.zeros(len(ps), dtype=int)
+        rows = np.full((len(ps), max(len(self.words[p]) for p in ps)), -2, dtype=np.int32)
+        for k, p in enumerate(ps):
+            rows[k, : len(self.words[p])] = self.words[p]
+        gap = r.document_gap * place
+        best, top = np.full((len(ps), n), -1e9), np.zeros(len(ps))
+        through, jumped = np.full((len(ps), n), -1e9), np.full((len(ps), n), -1e9)
+        for w in rows.T:
+            hit = doc == w[:, None]
+            if not hit.any():
+                best -= r.passage_gap
                 continue
-            prev = hits - 1
-            ok = prev >= 0
-            va = np.where(ok, a[prev] - r.document_gap * (place[hits] - 1), -1e9)
-            vb = np.where(ok, b[prev] - r.jump, -1e9)
-            v = np.maximum(va, vb)
-            source = np.where(va >= vb, ia[prev], ib[prev])
-            new = 1 + np.maximum(v, 0)
-            c = 1 + np.where(v > 0, count[source], 0)
-            better = new > best[hits]
-            best[hits[better]] = new[better]
-            count[hits[better]] = c[better]
-            k = int(new.argmax())
-            if new[k] > top:
-                top, words = float(new[k]), int(c[k])
-        return top, words
+            through[:, 1:] = np.maximum.accumulate(best + gap, axis=1)[:, :-1]
+            jumped[:, 1:] = np.maximum.accumulate(best, axis=1)[:, :-1]
+            new = one + np.maximum(np.maximum(through - gap + r.document_gap, jumped - r.jump), 0)
+            best -= r.passage_gap
+            np.copyto(best, np.maximum(best, new), where=hit)
+            top = np.maximum(top, np.where(hit, new, 0).max(1))
+        units = np.rint(top * 1e5).astype(np.int64)
+        return top, (units % 10_000).astype(int)
 
     def leaks(self, text: str) -> Iterator[tuple[int, int, float]]:
         doc = np.array([self.read(w) for w in words_of(text)], dtype=np.int32)
-        for p in sorted(self.candidates(doc)) if len(doc) else ():
-            score, words = self.align(p, doc)
-            whole = len(self.words[p])
-            if words >= min(self.rule.words, whole) and score >= min(self.rule.score, 0.75 * whole):
-                yield self.ids[p], words, score
+        found = sorted(self.candidates(doc)) if len(doc) else []
+        for start in range(0, len(found), 32):
+            some = found[start : start + 32]
+            for p, score, words in zip(some, *self.align(some, doc)):
+                whole = len(self.words[p])
+                if words >= min(self.rule.words, whole) and score >= min(self.rule.score, 0.75 * whole):
+                    yield self.ids[p], int(words), round(float(score), 3)
 
 
 def leaked(documents: DataFrame, items: DataFrame, rule: Overlap = Overlap(), *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
