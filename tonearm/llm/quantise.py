@@ -184,6 +184,15 @@ def _clean(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     return ok.withColumns({"h": F.xxhash64("v"), "g": F.xxhash64(F.lit("second"), "v")})
 
 
+def bounded_sample(rows: DataFrame, most: int, key: str = "id") -> DataFrame:
+    """About ``most`` rows, never more than twice that, chosen by a hash of their key, so no partition sends more than its part."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = int(most / n * (1 << 40))
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < share).limit(2 * most)
+
+
 PAIRS = "id long, neighbour long, distance double"
 
 
@@ -201,7 +210,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     spark = df.sparkSession
     rows = _clean(df, id_col, vec)
     classes = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("v").alias("v"))
-    sample = rows.orderBy(F.col("h")).limit(rule.sample).select("v").toPandas()
+    sample = bounded_sample(rows, rule.sample).select("v").toPandas()
     if not len(sample):
         return spark.createDataFrame([], PAIRS)
     books = train(unit(np.stack(sample["v"].to_numpy()).astype(np.float32)), rule)

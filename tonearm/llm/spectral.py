@@ -161,7 +161,7 @@ def grouped(df: DataFrame, id_col: str, vec: str, rule: Spectral = Spectral()) -
         return nothing
     y = stage(y, "embedding")
     names = [f"x{j}" for j in range(groups)]
-    rows = y.orderBy(F.xxhash64("src")).limit(rule.sample).select(*names).toPandas().to_numpy(dtype=np.float64)
+    rows = quantise.bounded_sample(y, rule.sample, "src").select(*names).toPandas().to_numpy(dtype=np.float64)
     centre = _seeds(_unit(rows), min(groups, len(rows)))
     g = len(centre)
 
