@@ -53,3 +53,15 @@ def test_copies_and_edges(spark):
     assert {p for p in pairs if p[0] in copies} == want
     assert not {i for p in pairs for i in p} & {200, 201, 202, 203, 5}
     assert close_pairs(df.limit(0), "id", "v", 4, 0.1, SMALL).count() == 0
+
+
+def test_vectors_that_share_all_codes(spark):
+    r = np.random.default_rng(9)
+    x = np.vstack([data(60), unit(np.ones((1, 12)) + 0.05 * r.normal(size=(300, 12))).astype(np.float32)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    tight = Quantiser(sample=60, books=2, words=4, beam=4, cell=5, depth=2, probes=4, rerank=60, rounds=2)
+    got = {}
+    for row in neighbours(df, "id", "v", 3, rule=tight).collect():
+        got.setdefault(row.id, set()).add(row.neighbour)
+    want, _ = brute(x, 3)
+    assert sum(len(got[i] & set(want[i].tolist())) for i in range(60, 360)) >= 0.9 * 3 * 300

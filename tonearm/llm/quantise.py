@@ -35,7 +35,7 @@ class Quantiser:
     beam: int = 8
     cell: int = 600
     depth: int = 4
-    probes: int = 3
+    probes: int = 4
     rerank: int = 40
     rounds: int = 8
 
@@ -159,16 +159,16 @@ def search(queries: np.ndarray, members: np.ndarray, codes: np.ndarray, norms: n
 
 
 def _by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole cells, from batches sorted by cell."""
+    """Whole blocks of cells, from batches sorted by cell and block."""
     rest: list[pd.DataFrame] = []
     for b in batches:
-        cells = b["cell"].to_numpy()
-        cuts = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+        cells, blocks = b["cell"].to_numpy(), b["block"].to_numpy()
+        cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (blocks[1:] != blocks[:-1])) + 1
         for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(b)]):
             if not len(b):
                 continue
             part = b.iloc[start:end]
-            if rest and rest[0]["cell"].iat[0] != part["cell"].iat[0]:
+            if rest and (rest[0]["cell"].iat[0], rest[0]["block"].iat[0]) != (part["cell"].iat[0], part["block"].iat[0]):
                 yield pd.concat(rest) if len(rest) > 1 else rest[0]
                 rest = []
             rest.append(part)
@@ -218,11 +218,14 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     coded = stage(encoded(classes.select("id", "v"), books, rule), "codes")
     counts = coded.select(F.posexplode("own").alias("level", "key")).groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
     parents = coded.select(F.explode(F.arrays_zip(F.slice("own", 2, rule.depth - 1).alias("key"), F.slice("own", 1, rule.depth - 1).alias("parent"))).alias("x")).select("x.key", "x.parent").distinct()
+    size = {"blocks": F.ceil(F.col("n") / (8.0 * rule.cell)).cast("int")}
     large = counts.where((F.col("n") > rule.cell) & (F.col("level") < rule.depth - 1)).select("key")
     below = parents.join(large.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").join(large, "key", "left_anti")
     top = counts.where("level = 0").select("key").join(large, "key", "left_anti")
-    cells = stage(top.unionByName(below), "cells")
-    home = coded.select("id", "v", "code", "norm", "q", "scale", F.explode("own").alias("cell")).join(cells.withColumnRenamed("key", "cell"), "cell", "left_semi")
+    # vectors that share all codes of the longest prefix are cut into blocks by id, and each query visits all of them
+    cells = stage(top.unionByName(below).join(counts.select("key", "n"), "key").withColumns(size).select(F.col("key").alias("cell"), "blocks"), "cells")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    home = coded.select("id", "v", "code", "norm", "q", "scale", F.explode("own").alias("cell")).join(cells, "cell").withColumn("block", block)
     if queries is not None:
         asked = rows.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi").select("h", "g").distinct()
         firsts = classes.select("h", "g", "id").join(asked, ["h", "g"], "left_semi").select("id").distinct().withColumn("asks", F.lit(True))
@@ -230,9 +233,11 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
         seeking = coded.join(firsts.select("id"), "id", "left_semi")
     else:
         home, seeking = home.withColumn("asks", F.lit(True)), coded
-    visit = seeking.select("id", "q", "scale", F.explode(F.array_except("probes", "own")).alias("cell")).join(cells.withColumnRenamed("key", "cell"), "cell", "left_semi")
-    home = home.select("cell", "id", "v", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("float").alias("scale"), "code", "norm", "asks")
-    both = home.unionByName(visit.select("cell", "id", F.lit(None).cast("binary").alias("v"), "q", "scale", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), F.lit(True).alias("asks")))
+    visit = seeking.select("id", "q", "scale", "own", F.explode(F.array_union("probes", "own")).alias("cell")).join(cells, "cell")
+    visit = visit.where((F.col("blocks") > 1) | ~F.array_contains("own", F.col("cell"))).withColumn("own_block", block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    visit = visit.where((F.col("block") != F.col("own_block")) | ~F.array_contains("own", F.col("cell")))
+    home = home.select("cell", "block", "id", "v", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("float").alias("scale"), "code", "norm", "asks")
+    both = home.unionByName(visit.select("cell", "block", "id", F.lit(None).cast("binary").alias("v"), "q", "scale", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), F.lit(True).alias("asks")))
     sent = spark.sparkContext.broadcast(books)
     limit, least = 3.0 if max_distance is None else max_distance, -1.0 if min_distance is None else min_distance
 
@@ -259,7 +264,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
                 if keep.any():
                     yield pd.DataFrame({"id": asker[keep], "neighbour": found[keep], "distance": d[keep].astype(np.float64)})
 
-    found = both.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, PAIRS)
+    found = both.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInPandas(run, PAIRS)
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     first = lambda f: f.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
     between = first(found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")))
