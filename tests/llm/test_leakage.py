@@ -52,3 +52,25 @@ def test_altered_passages_and_edges(spark):
     assert got == [(1, 3), (2, 3), (3, 3), (5, 3)]
     assert leaked(docs.limit(0), held).count() == 0
     assert leaked(docs, held.limit(0)).count() == 0
+
+
+def altered(text, kept, changed, pieces, seed):
+    """``kept`` words of ``text`` in order, ``changed`` more replaced, in ``pieces`` with 40 other words between."""
+    r = random.Random(seed)
+    part = text.split()[: kept + changed]
+    for k in r.sample(range(1, len(part) - 1), changed):
+        part[k] = f"zq{k}xw"
+    cuts = [round(len(part) * k / pieces) for k in range(pieces + 1)]
+    other = " ".join(f"filler{k}" for k in range(40))
+    return f" {other} ".join(" ".join(part[a:b]) for a, b in zip(cuts, cuts[1:]))
+
+
+def test_changed_words_and_pieces():
+    items = passages(30)
+    index = PassageIndex(items, Overlap(retrieve=1.0))
+    for kept, changed, pieces in ((20, 4, 1), (20, 5, 1), (20, 8, 1), (28, 12, 1), (30, 10, 1), (20, 0, 4), (20, 0, 5), (24, 6, 3), (30, 10, 5)):
+        for p in range(10):
+            assert [p for p, _, _ in index.leaks(altered(items[p][1], kept, changed, pieces, p))] == [p], (kept, changed, pieces)
+    scattered = " filler filler ".join(items[0][1].split()[::2])  # 20 words in order, every other one of the passage
+    for text in (altered(items[0][1], 12, 0, 1, 0), altered(items[0][1], 14, 4, 2, 0), scattered):
+        assert not list(index.leaks(text))
