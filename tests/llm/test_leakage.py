@@ -74,3 +74,17 @@ def test_changed_words_and_pieces():
     scattered = " filler filler ".join(items[0][1].split()[::2])  # 20 words in order, every other one of the passage
     for text in (altered(items[0][1], 12, 0, 1, 0), altered(items[0][1], 14, 4, 2, 0), scattered):
         assert not list(index.leaks(text))
+
+
+def test_retrieval_loses_nothing_the_verification_accepts():
+    common = WORDS[:12]  # cheap words, in most passages
+    r = random.Random(4)
+    items = [(i, " ".join(r.choice(common) if r.random() < 0.7 else r.choice(WORDS) for _ in range(50))) for i in range(40)]
+    for held in (items, items[:1], items[:3]):
+        index, every = PassageIndex(held, Overlap()), list(range(len(held)))
+        for p in range(len(held)):
+            for kept, changed, pieces in ((20, 0, 1), (17, 0, 2), (20, 8, 1), (24, 0, 3), (30, 0, 5), (24, 6, 3)):
+                text = altered(held[p][1], kept, changed, pieces, p).replace("filler39", "filler39 " + "other words here " * 60)
+                doc = np.array([index.read(w) for w in text.split()])
+                want = {q for q, score, words in zip(every, *index.align(every, doc)) if words >= 17 and score >= 14}
+                assert p in want and {q for q, _, _ in index.leaks(text)} == want

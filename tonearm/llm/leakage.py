@@ -1,10 +1,11 @@
 """Held-out passages inside training documents.
 
 The held-out passages form a BM25 inverted index with block maxima. Every
-window of every document is a query against it, evaluated with block-max WAND,
+document, whole, is a query against it, evaluated with block-max WAND,
 so blocks of postings whose best possible sum stays under the threshold are
-never scored. Each document and passage found that way is verified by aligning
-the passage's words, in their order, with the whole document.
+never scored. The threshold is each passage's own: the least that any words of it which the verification
+accepts can score, wherever in the document they stand, so nothing the verification accepts is lost. Each document and
+passage found that way is verified by aligning the passage's words, in their order, with the whole document.
 
 Words of a document that are no passage word but one edit away from one (a typo) are read as
 that word, before both the search and the alignment.
@@ -34,14 +35,12 @@ _WORD = regex.compile(r"[^\W_]+")
 class Overlap:
     """When a document gives a passage away.
 
-    ``window`` and ``stride``: words of a query. ``retrieve``: least BM25 of a window. ``block``: passages or postings in a block, ``table``: most cells of the table of block maxima.
+    ``retrieve``: the number to which BM25 is scaled so that it is every passage's own limit. ``block``: passages or postings in a block at most, ``table``: most cells of the table of block maxima.
     ``words``: least aligned words (a shorter passage must be there wholly), ``score``: least alignment score. The number of words decides; the gaps cost
     so little that 20 words with 8 more changed, or in 5 pieces, reach the score, and only reject words scattered over much more of the passage.
     """
 
-    window: int = 64
-    stride: int = 32
-    retrieve: float = 25.0
+    retrieve: float = 1.0
     words: int = 17
     score: float = 14.0
     k1: float = 1.2
@@ -84,6 +83,9 @@ class PassageIndex:
         counts = Counter(w for t in self.tokens for w in set(t))
         self.vocabulary = {w: k for k, w in enumerate(sorted(counts))}
         self.words = [np.array([self.vocabulary[w] for w in t], dtype=np.int32) for t in self.tokens]
+        self.padded = np.full((len(passages), max([1, *lengths])), len(self.vocabulary), dtype=np.int32)
+        for p, w in enumerate(self.words):
+            self.padded[p, : len(w)] = w
         self.own = np.zeros((len(passages), len(self.vocabulary) + 1), dtype=bool)
         for p, w in enumerate(self.words):
             self.own[p, w] = True
@@ -93,6 +95,12 @@ class PassageIndex:
             for w, tf in Counter(t).items():
                 idf = math.log(1 + (n - counts[w] + 0.5) / (counts[w] + 0.5))
                 postings[self.vocabulary[w]].append((p, idf * tf * (rule.k1 + 1) / (tf + rule.k1 * (1 - rule.b + rule.b * lengths[p] / mean))))
+        weight: list[dict[int, float]] = [{} for _ in passages]
+        for t, pl in enumerate(postings):
+            for p, x in pl:
+                weight[p][t] = x
+        scale = [rule.retrieve / self._least(p, weight[p]) if t else 0.0 for p, t in enumerate(self.tokens)]
+        postings = [[(p, x * scale[p]) for p, x in pl] for pl in postings]
         self.postings = postings
         self.impact = [dict(pl) for pl in postings]
         self.places = [[p for p, _ in pl] for pl in postings]
@@ -112,6 +120,24 @@ class PassageIndex:
                     self.near.setdefault(v, set()).add(w)
         self.known: dict[str, int] = {}
 
+    def _least(self, p: int, weight: dict[int, float]) -> float:
+        """The least BM25 of words of passage ``p`` that the verification can accept, a little lowered for rounding.
+
+        Every aligned word beyond the score pays for some words left out, so ``n`` words lie in a stretch of known length; the cheapest
+        ``n`` of each such stretch are summed. A repeated word counts with its share, as a query counts it once.
+        """
+        words, r = self.words[p], self.rule
+        whole, tf = len(words), Counter(words.tolist())
+        x = np.array([weight[t] / tf[t] for t in words.tolist()])
+        need, least = min(r.score, 0.75 * whole), float("inf")
+        for n in range(min(r.words, whole), whole + 1):
+            length = min(whole, n + int(max(0.0, n - need) / r.passage_gap + 1e-9))
+            stretches = np.sort(np.lib.stride_tricks.sliding_window_view(x, length), axis=1)
+            least = min(least, float(stretches[:, :n].sum(1).min()))
+            if length == whole:
+                break
+        return least * (1 - 1e-6)
+
     def read(self, word: str) -> int:
         """The number of ``word`` in the vocabulary, of the word it is a typo of, or -1."""
         if (k := self.vocabulary.get(word)) is not None:
@@ -205,13 +231,18 @@ class PassageIndex:
                     move(t, p + 1)
 
     def candidates(self, doc: np.ndarray) -> set[int]:
-        found: set[int] = set()
-        for start in range(0, max(1, len(doc) - self.rule.window + self.rule.stride), self.rule.stride):
-            terms = np.unique(doc[start : start + self.rule.window])
-            terms = terms[terms >= 0]
-            for lo, hi in self.ranges(terms) if len(terms) else ():
-                found.update(self.search(terms.tolist(), lo, hi))
-        return found
+        terms = np.unique(doc)
+        terms = terms[terms >= 0]
+        return {p for lo, hi in (self.ranges(terms) if len(terms) else ()) for p in self.search(terms.tolist(), lo, hi)}
+
+    def possible(self, ps: list[int], doc: np.ndarray) -> list[int]:
+        """The passages whose best stretch could reach the score if all its words that the document has stood there in order."""
+        there = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        there[doc[doc >= 0]] = True
+        total = np.where(there[self.padded[ps]], 1.0, -self.rule.passage_gap).cumsum(1)
+        before = np.minimum.accumulate(np.hstack([np.zeros((len(ps), 1)), total[:, :-1]]), axis=1)
+        top = (total - before).max(1)
+        return [p for p, x in zip(ps, top) if x >= min(self.rule.score, 0.75 * len(self.words[p])) - 1e-6]
 
     def align(self, ps: list[int], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each passage, score and aligned words of the best chain of its words in their order.
@@ -247,9 +278,10 @@ class PassageIndex:
 
     def leaks(self, text: str) -> Iterator[tuple[int, int, float]]:
         doc = np.array([self.read(w) for w in words_of(text)], dtype=np.int32)
-        found = sorted(self.candidates(doc)) if len(doc) else []
-        for start in range(0, len(found), 32):
-            some = found[start : start + 32]
+        found = self.possible(sorted(self.candidates(doc)), doc) if len(doc) else []
+        step = max(1, min(32, 1_000_000 // max(1, len(doc))))  # bounds the alignment's arrays in long documents
+        for start in range(0, len(found), step):
+            some = found[start : start + step]
             for p, score, words in zip(some, *self.align(some, doc)):
                 whole = len(self.words[p])
                 if words >= min(self.rule.words, whole) and score >= min(self.rule.score, 0.75 * whole):
