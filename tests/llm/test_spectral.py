@@ -1,7 +1,7 @@
 import numpy as np
 
 from tonearm.llm.quantise import Quantiser
-from tonearm.llm.spectral import Spectral, described, grouped, together
+from tonearm.llm.spectral import Spectral, beyond, described, grouped, together
 
 RULE = Spectral(k=8, near=0.0005, vectors=12, steps=9, search=Quantiser(sample=400, books=3, words=8, beam=8, cell=200, depth=2, probes=8, rerank=60, rounds=4))
 
@@ -30,3 +30,17 @@ def test_groups_noise_and_edges(spark):
     probes = spark.createDataFrame([(0, 1, "x"), (0, 125, "x"), (0, 300, "x")], "a long, b long, c string")
     assert [(x.a, x.b) for x in together(probes, out, "a", "b").collect()] == [(0, 1)]
     assert grouped(df.limit(0), "id", "v", RULE).count() == 0
+
+
+def test_near_copies_that_fill_their_cells(spark):
+    r = np.random.default_rng(8)
+    centres = np.eye(24)[:3]
+    crowd = centres[0] + 0.1 * r.normal(size=24)
+    x = [centres[i % 3] + 0.12 * r.normal(size=24) for i in range(240)] + [crowd + 0.004 * r.normal(size=24) for _ in range(900)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    rule = Spectral(k=8, near=0.03, vectors=12, steps=9, search=Quantiser(sample=400, books=3, words=8, beam=4, cell=60, depth=3, probes=2, rerank=20, rounds=4))
+    edges = beyond(df, "id", "v", rule).toPandas()
+    assert set(edges["id"]) == set(range(1140)) and (edges.groupby("id").size() == 8).all() and edges["distance"].min() >= 0.03
+    got = {x.id: x.group for x in grouped(df, "id", "v", rule).collect()}
+    assert got[240] is not None and all(got[i] == got[240] for i in range(240, 1140))
+    assert not any(got[i] == got[240] for i in range(240) if i % 3)

@@ -196,11 +196,11 @@ def bounded_sample(rows: DataFrame, most: int, key: str = "id") -> DataFrame:
 PAIRS = "id long, neighbour long, distance double"
 
 
-def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distance: float | None = None, min_distance: float | None = None, queries: DataFrame | None = None, rule: Quantiser = Quantiser()) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distance: float | None = None, min_distance: float | None = None, queries: DataFrame | None = None, among: DataFrame | None = None, rule: Quantiser = Quantiser()) -> DataFrame:
     """(id, neighbour, distance): for each query row the ``k`` other rows of ``df`` nearest by cosine distance, ties by id.
 
-    ``queries``: a frame whose first column has the ids to search for (all rows when None). ``max_distance``: leave out farther ones; ``min_distance``: leave out nearer ones, copies too.
-    The codebooks are fitted on a sample of at most ``rule.sample`` vectors; every vector is filed and searched.
+    ``queries``: a frame whose first column has the ids to search for (all rows when None), ``among``: likewise those that may be found. ``max_distance``: leave out farther ones; ``min_distance``: leave out nearer ones, copies too.
+    The codebooks are fitted on a sample of at most ``rule.sample`` of the vectors that may be found; every vector is filed and searched.
 
     Defined cases: rows without id, vector or direction (null, empty, zero, NaN, infinite) take no part; rows
     delivered twice count once; of several vectors under one id, each is searched and the pair's least distance counts; exact
@@ -210,14 +210,18 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     spark = df.sparkSession
     rows = _clean(df, id_col, vec)
     classes = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("v").alias("v"))
-    sample = bounded_sample(rows, rule.sample).select("v").toPandas()
+    shown = rows if among is None else rows.join(among.select(F.col(among.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
+    sample = bounded_sample(shown, rule.sample).select("v").toPandas()
     if not len(sample):
         return spark.createDataFrame([], PAIRS)
     books = train(unit(np.stack(sample["v"].to_numpy()).astype(np.float32)), rule)
     # a class goes by its lowest id; a row with two vectors would give two classes one id, so the hash is kept
     coded = stage(encoded(classes.select("id", "v"), books, rule), "codes")
-    counts = coded.select(F.posexplode("own").alias("level", "key")).groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
-    parents = coded.select(F.explode(F.arrays_zip(F.slice("own", 2, rule.depth - 1).alias("key"), F.slice("own", 1, rule.depth - 1).alias("parent"))).alias("x")).select("x.key", "x.parent").distinct()
+    filed = coded
+    if among is not None:
+        filed = stage(coded.join(classes.join(shown.select("h", "g").distinct(), ["h", "g"], "left_semi").select("id").distinct(), "id", "left_semi"), "filed")
+    counts = filed.select(F.posexplode("own").alias("level", "key")).groupBy("level", "key").agg(F.count(F.lit(1)).alias("n"))
+    parents = filed.select(F.explode(F.arrays_zip(F.slice("own", 2, rule.depth - 1).alias("key"), F.slice("own", 1, rule.depth - 1).alias("parent"))).alias("x")).select("x.key", "x.parent").distinct()
     size = {"blocks": F.ceil(F.col("n") / (8.0 * rule.cell)).cast("int")}
     large = counts.where((F.col("n") > rule.cell) & (F.col("level") < rule.depth - 1)).select("key")
     below = parents.join(large.select(F.col("key").alias("parent")), "parent", "left_semi").select("key").join(large, "key", "left_anti")
@@ -225,7 +229,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     # vectors that share all codes of the longest prefix are cut into blocks by id, and each query visits all of them
     cells = stage(top.unionByName(below).join(counts.select("key", "n"), "key").withColumns(size).select(F.col("key").alias("cell"), "blocks"), "cells")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    home = coded.select("id", "v", "code", "norm", "q", "scale", F.explode("own").alias("cell")).join(cells, "cell").withColumn("block", block)
+    home = filed.select("id", "v", "code", "norm", "q", "scale", F.explode("own").alias("cell")).join(cells, "cell").withColumn("block", block)
     if queries is not None:
         asked = rows.join(queries.select(F.col(queries.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi").select("h", "g").distinct()
         firsts = classes.select("h", "g", "id").join(asked, ["h", "g"], "left_semi").select("id").distinct().withColumn("asks", F.lit(True))
@@ -233,9 +237,15 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
         seeking = coded.join(firsts.select("id"), "id", "left_semi")
     else:
         home, seeking = home.withColumn("asks", F.lit(True)), coded
-    visit = seeking.select("id", "q", "scale", "own", F.explode(F.array_union("probes", "own")).alias("cell")).join(cells, "cell")
-    visit = visit.where((F.col("blocks") > 1) | ~F.array_contains("own", F.col("cell"))).withColumn("own_block", block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    visit = visit.where((F.col("block") != F.col("own_block")) | ~F.array_contains("own", F.col("cell")))
+    if among is not None:  # rows that are not filed visit their own cells too
+        at_home = filed.select("id", F.lit(True).alias("filed"))
+        seeking = seeking.join(at_home, "id", "left").withColumn("filed", F.coalesce("filed", F.lit(False)))
+    else:
+        seeking = seeking.withColumn("filed", F.lit(True))
+    visit = seeking.select("id", "q", "scale", "own", "filed", F.explode(F.array_union("probes", "own")).alias("cell")).join(cells, "cell")
+    here = F.col("filed") & F.array_contains("own", F.col("cell"))
+    visit = visit.where((F.col("blocks") > 1) | ~here).withColumn("own_block", block).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    visit = visit.where((F.col("block") != F.col("own_block")) | ~here)
     home = home.select("cell", "block", "id", "v", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("float").alias("scale"), "code", "norm", "asks")
     both = home.unionByName(visit.select("cell", "block", "id", F.lit(None).cast("binary").alias("v"), "q", "scale", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), F.lit(True).alias("asks")))
     sent = spark.sparkContext.broadcast(books)

@@ -1,6 +1,7 @@
 """Groups of like records by power-iteration spectral clustering.
 
-Each vector is joined to its nearest others beyond the distance of near-copies; the affinities
+Each vector is joined to its nearest others beyond the distance of near-copies; where these crowd the cells, the search is repeated among
+fewer and fewer of the crowd. The affinities
 ``exp(-(distance / scale)^2)`` form a sparse symmetric graph, normalised by the degrees of both ends. Several random vectors over the records are
 multiplied by it again and again, each product a distributed join and sum, and made orthogonal in between, so they turn to the leading
 eigenvectors. The largest gap between their Ritz values gives the number of groups; rows of the embedding, scaled
@@ -11,7 +12,7 @@ the mean cosine similarity with all members of their group; those far below the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -143,6 +144,31 @@ def _seeds(y: np.ndarray, k: int) -> np.ndarray:
     return chosen
 
 
+def beyond(df: DataFrame, id_col: str, vec: str, rule: Spectral) -> DataFrame:
+    """(id, neighbour, distance): the ``k`` nearest of every row at least ``near`` away.
+
+    Rows whose cells hold so many near-copies that they end with fewer than ``k`` search again, in cells newly cut, among the rows that are not short and an eighth, a
+    64th, ... of the short ones, which stand for their crowd; twice as many cells are probed each time. That ends when no row is short or none of them is left among those searched.
+    """
+    ids = stage(quantise._clean(df, id_col, vec).select("id").distinct(), "ids")
+    first = Window.partitionBy("id").orderBy("distance", "neighbour")
+    near = stage(quantise.neighbours(df, id_col, vec, rule.k, min_distance=rule.near, rule=rule.search), "neighbours")
+    search, share, left = rule.search, 8, None
+    while True:
+        enough = near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rule.k)
+        short = stage(ids.join(enough, "id", "left_anti").select("id"), "short")
+        n = short.count()
+        left = n if left is None else left
+        if not n or share > 8 * left:
+            return near
+        search = replace(search, probes=min(2 * search.probes, search.words), beam=min(max(search.beam, 2 * search.probes), search.words))
+        among = ids.join(short, "id", "left_anti").unionByName(short.where(F.pmod(F.xxhash64(F.lit("crowd"), "id"), F.lit(share)) == 0))
+        more = quantise.neighbours(df, id_col, vec, rule.k, min_distance=rule.near, queries=short, among=among, rule=search)
+        both = near.unionByName(more).groupBy("id", "neighbour").agg(F.min("distance").alias("distance"))
+        near = stage(both.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rule.k).drop("n"), "neighbours")
+        share *= 8
+
+
 def grouped(df: DataFrame, id_col: str, vec: str, rule: Spectral = Spectral()) -> DataFrame:
     """(id, group, affinity): every record with its group, null for those of no group.
 
@@ -152,7 +178,7 @@ def grouped(df: DataFrame, id_col: str, vec: str, rule: Spectral = Spectral()) -
     """
     spark = df.sparkSession
     clean = quantise._clean(df, id_col, vec)
-    near = stage(quantise.neighbours(df, id_col, vec, rule.k, min_distance=rule.near, rule=rule.search), "neighbours")
+    near = beyond(df, id_col, vec, rule)
     nothing = clean.select("id", F.lit(None).cast("int").alias("group"), F.lit(None).cast("double").alias("affinity")).distinct()
     if near.isEmpty():
         return nothing
