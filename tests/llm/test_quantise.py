@@ -65,3 +65,15 @@ def test_vectors_that_share_all_codes(spark):
         got.setdefault(row.id, set()).add(row.neighbour)
     want, _ = brute(x, 3)
     assert sum(len(got[i] & set(want[i].tolist())) for i in range(60, 360)) >= 0.9 * 3 * 300
+
+
+def test_crowd_of_near_copies(spark):
+    r = np.random.default_rng(6)
+    x = np.vstack([data(600, 24), unit(r.normal(size=(1, 24)) / 5 + 0.015 * r.normal(size=(1200, 24))).astype(np.float32)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    rule = Quantiser(sample=600, books=3, words=16, beam=8, cell=60, depth=3, probes=4, rerank=20, rounds=4)
+    got = {}
+    for row in neighbours(df, "id", "v", 5, max_distance=0.06, rule=rule).collect():
+        got.setdefault(row.id, set()).add(row.neighbour)
+    want, _ = brute(x, 5)
+    assert sum(len(got[i] & set(want[i].tolist())) for i in range(600, 1800)) >= 0.99 * 5 * 1200

@@ -278,9 +278,85 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     w = Window.partitionBy("id").orderBy("distance", "neighbour")
     first = lambda f: f.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
     between = first(found.groupBy("id", "neighbour").agg(F.min("distance").alias("distance")))
+    if max_distance is not None and queries is None and among is None and least <= 0:
+        between = stage(between, "between")
+        full = between.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("id")
+        crowd = stage(coded.join(full, "id", "left_semi").select("id", "v"), "crowd")
+        if not crowd.isEmpty():
+            between = first(between.unionByName(_within(crowd, k, limit, rule)).groupBy("id", "neighbour").agg(F.min("distance").alias("distance")))
     return _expanded(rows, classes, between, k, first, queries, least)
 
 
+def _within(crowd: DataFrame, k: int, limit: float, rule: Quantiser) -> DataFrame:
+    """``PAIRS``: the ``k`` nearest within ``limit`` among the rows of a crowd (id, v), exactly.
+
+    Rows go to the nearest of some leaders that lie farther than ``limit`` apart. A row visits each leader whose rows can lie within ``limit``, by
+    the angles between them, and there all rows in blocks.
+    """
+    sample = np.stack([np.frombuffer(bytes(r.v), dtype=np.float32) for r in bounded_sample(crowd, rule.sample).orderBy("id").collect()] or [np.frombuffer(bytes(crowd.first().v), dtype=np.float32)])
+    open_, chosen = np.ones(len(sample), dtype=bool), []
+    while open_.any():
+        chosen.append(sample[open_.argmax()])
+        here = int(open_.argmax())
+        open_ &= sample @ chosen[-1] < 1 - limit
+        open_[here] = False
+    leaders = crowd.sparkSession.sparkContext.broadcast(np.stack(chosen))
+
+    def angles(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(b["v"]), dtype=np.float32).reshape(len(b), -1)
+        return x, np.arccos(np.clip(x @ leaders.value.T, -1, 1))
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), 1000):
+                part = b.iloc[start : start + 1000]
+                _, a = angles(part)
+                yield pd.DataFrame({"id": part["id"], "v": part["v"], "cell": a.argmin(1).astype(np.int64), "angle": a.min(1).astype(np.float64)})
+
+    home = stage(crowd.mapInPandas(file, "id long, v binary, cell long, angle double"), "home")
+    reach = np.full(len(chosen), -1.0)
+    blocks = np.ones(len(chosen), dtype=np.int64)
+    for r in home.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # a row per leader
+        reach[r.cell], blocks[r.cell] = r.angle + np.arccos(1 - min(limit, 2.0)) + 1e-3, -(-r.n // (8 * rule.cell))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for start in range(0, len(b), 1000):
+                part = b.iloc[start : start + 1000]
+                _, a = angles(part)
+                who, cell = np.nonzero(a <= reach)
+                times = blocks[cell]
+                who, cell = np.repeat(who, times), np.repeat(cell, times)
+                block = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"cell": cell, "block": block, "id": part["id"].to_numpy()[who], "v": part["v"].to_numpy()[who], "asks": True})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cell": b["cell"], "block": b["h"].to_numpy() % blocks[b["cell"].to_numpy()], "id": b["id"], "v": b["v"], "asks": False})
+
+    kind = "cell long, block long, id long, v binary, asks boolean"
+    there = home.withColumn("h", F.xxhash64("id")).mapInPandas(place, kind)
+    both = there.unionByName(home.select("id", "v").mapInPandas(visit, kind))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _by_cell(batches):
+            asks = b["asks"].to_numpy(dtype=bool)
+            ids, who = b["id"].to_numpy()[~asks], b["id"].to_numpy()[asks]
+            if not len(ids) or not len(who):
+                continue
+            x, q = (np.frombuffer(b"".join(b["v"].to_numpy()[m]), dtype=np.float32).reshape(int(m.sum()), -1) for m in (~asks, asks))
+            n = min(k + 1, len(ids))
+            for start in range(0, len(q), 250):
+                d = 1 - q[start : start + 250] @ x.T
+                top = np.argpartition(d, n - 1, axis=1)[:, :n]
+                near, asker, found = np.take_along_axis(d, top, axis=1).ravel().clip(0), np.repeat(who[start : start + 250], n), ids[top].ravel()
+                keep = (found != asker) & (near <= limit)
+                if keep.any():
+                    yield pd.DataFrame({"id": asker[keep], "neighbour": found[keep], "distance": near[keep].astype(np.float64)})
+
+    return both.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInPandas(run, PAIRS)
+
+
 def _expanded(rows: DataFrame, classes: DataFrame, between: DataFrame, k: int, first, queries: DataFrame | None, least: float) -> DataFrame:
     """Neighbours of classes brought back to their members."""
     shared = classes.where("id < last").select("h", "g", F.col("id").alias("rep"))
