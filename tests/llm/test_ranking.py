@@ -18,7 +18,7 @@ def test_missing_is_neutral_and_edges(spark):
     out = closeness(df.withColumnRenamed("closeness", "b"), "g", [Criterion("a", winsor=0.0), Criterion("b", winsor=0.0)]).collect()
     got = {(r.g, r.id): r.closeness for r in out}
     assert len(out) == 6
-    assert got["g", 1] == 0.75 and got["g", 2] == 0.5 and got["g", 3] == 0.25
+    assert got["g", 1] == 1 and got["g", 2] == 0.5 and got["g", 3] == 0  # b is constant in g
     assert got[None, 4] == 0.5 and got["h", 5] == 0.5
     assert closeness(df.limit(0), "g", [Criterion("a")]).count() == 0
 
@@ -33,3 +33,18 @@ def test_runs(spark):
     ranked = rank_runs(cards, near, tracks)
     assert ranked.count() == 4
     assert [r.path for r in top_per_group(ranked, "run_id", "path", 1).collect()] == ["a"]
+
+
+def test_not_the_mean_of_scaled_scores(spark):
+    """Closeness by Euclidean distances on vector-normalised scores, against numpy; the order is another than by mean min-max scores."""
+    import numpy as np
+
+    a = np.array([0.0, 9.0, 9.5, 10.0, 5.0, 4.0])
+    b = np.array([10.0, 0.2, 1.0, 0.0, 2.6, 3.0])
+    df = spark.createDataFrame([("g", i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "g string, id int, a double, b double")
+    got = np.array([r.closeness for r in closeness(df, "g", [Criterion("a", winsor=0.0), Criterion("b", winsor=0.0)]).orderBy("id").collect()])
+    v = np.stack([a / np.linalg.norm(a), b / np.linalg.norm(b)])
+    plus, minus = np.sqrt(((v.max(1, keepdims=True) - v) ** 2).sum(0)), np.sqrt((v**2).sum(0))
+    assert np.allclose(got, minus / (plus + minus))
+    mean = (a / 10 + b / 10) / 2
+    assert list(np.argsort(-got)) != list(np.argsort(-mean)) and np.abs(got - mean).max() > 0.02

@@ -1,11 +1,11 @@
 """Ideal-point ranking (TOPSIS) of candidates with scores on different scales.
 
 Within each group every criterion is winsorised to its own quantiles, shifted
-to start at zero, and vector-normalised. The ideal point takes the best value
-of each criterion, the anti-ideal the worst. The distances to both use weights
-divided by the criterion's normalised range, so equal weights mean equal
-leverage whatever the shape of the scores; the result is ordered by relative
-closeness ``d(anti) / (d(ideal) + d(anti))``.
+to start at zero, and divided by its vector norm over the group, so that the squared
+distances of the candidates to the anti-ideal add up to the same for each criterion, whatever its scale, and one whose values
+crowd near its best does not outweigh the others. The ideal point takes the best value
+of each criterion, the anti-ideal the worst. Candidates are ordered by relative
+closeness ``d(anti) / (d(ideal) + d(anti))`` of the weighted Euclidean distances.
 """
 
 from __future__ import annotations
@@ -35,14 +35,12 @@ def _oriented(c: Criterion) -> Column:
     return x if c.higher_is_better else -x
 
 
-def closeness(df: DataFrame, group: str, criteria: list[Criterion], order: float = 1.0) -> DataFrame:
+def closeness(df: DataFrame, group: str, criteria: list[Criterion]) -> DataFrame:
     """``df`` with a column ``closeness`` in [0, 1], computed within each value of ``group``.
 
-    ``order`` is that of the distance: 1 adds the criteria up, 2 is Euclidean.
-
-    Defined cases: null, NaN and infinite scores are missing, and a missing score counts as
-    midway between ideal and anti-ideal, neither for nor against. A criterion that is constant or
-    wholly missing in a group is left out of that group in the same way. Rows with a null group form a group.
+    Defined cases: null, NaN and infinite scores are missing, and a missing score stands midway between ideal and
+    anti-ideal, in the norm too, neither for nor against. A criterion that is constant or
+    wholly missing in a group is left out of that group; where all are, closeness is 0.5. Rows with a null group form a group.
     Repeated rows each keep their closeness. An empty frame gives an empty frame. Other columns are kept;
     one called ``closeness`` is replaced. All statistics are partial aggregates, so a group
     holding most rows is never gathered in one task.
@@ -58,30 +56,26 @@ def closeness(df: DataFrame, group: str, criteria: list[Criterion], order: float
     limits = base.groupBy(F.col(group).alias("__g")).agg(*quantiles)
     for i in range(len(criteria)):  # where the quantiles coincide the whole range is used
         flat = F.col(f"__q{i}")[0] >= F.col(f"__q{i}")[1]
-        limits = limits.withColumns({
-            f"__lo{i}": F.when(flat, F.col(f"__min{i}")).otherwise(F.col(f"__q{i}")[0]),
-            f"__hi{i}": F.when(flat, F.col(f"__max{i}")).otherwise(F.col(f"__q{i}")[1]),
-        })
-    limits = limits.select("__g", *(f"__{k}{i}" for i in range(len(criteria)) for k in ("lo", "hi")))
-    clipped = base.join(limits, base[group].eqNullSafe(limits["__g"]), "left").withColumns({
-        f"__w{i}": F.greatest(F.least(F.col(f"__x{i}"), F.col(f"__hi{i}")), F.col(f"__lo{i}")) - F.col(f"__lo{i}")
-        for i in range(len(criteria))
-    }).withColumns({  # greatest and least skip nulls, a missing score must stay missing
-        f"__w{i}": F.when(F.col(f"__x{i}").isNull(), None).otherwise(F.col(f"__w{i}")) for i in range(len(criteria))
-    })
-    norms = clipped.groupBy(F.col("__g").alias("__h")).agg(
-        *(F.sqrt(F.sum(F.col(f"__w{i}") * F.col(f"__w{i}"))).alias(f"__n{i}") for i in range(len(criteria)))
-    )
-    scored = clipped.join(norms, F.col("__g").eqNullSafe(F.col("__h")), "left")
+        low, high = F.when(flat, F.col(f"__min{i}")).otherwise(F.col(f"__q{i}")[0]), F.when(flat, F.col(f"__max{i}")).otherwise(F.col(f"__q{i}")[1])
+        limits = limits.withColumns({f"__lo{i}": low, f"__range{i}": high - low})
+    limits = limits.select("__g", *(f"__{k}{i}" for i in range(len(criteria)) for k in ("lo", "range")))
+
+    def above(i: int) -> Column:
+        """The winsorised value above the worst one; a missing one is midway, and all of an unusable criterion are null."""
+        x, low, span = F.col(f"__x{i}"), F.col(f"__lo{i}"), F.col(f"__range{i}")
+        return F.when(span > 0, F.when(x.isNull(), span / 2).otherwise(F.least(F.greatest(x - low, F.lit(0.0)), span)))
+
+    placed = base.join(limits, base[group].eqNullSafe(limits["__g"]), "left").withColumns({f"__w{i}": above(i) for i in range(len(criteria))})
+    norms = placed.groupBy(F.col("__g").alias("__h")).agg(*(F.sqrt(F.sum(F.col(f"__w{i}") * F.col(f"__w{i}"))).alias(f"__n{i}") for i in range(len(criteria))))
+    scored = placed.join(norms, F.col("__g").eqNullSafe(F.col("__h")), "left")
     to_ideal, to_anti = [], []
     for i, c in enumerate(criteria):
-        v = F.col(f"__w{i}") / F.col(f"__n{i}")
-        ideal = (F.col(f"__hi{i}") - F.col(f"__lo{i}")) / F.col(f"__n{i}")
-        usable = F.col(f"__w{i}").isNotNull() & (F.col(f"__n{i}") > 0)
-        for side, gap in ((to_ideal, ideal - v), (to_anti, v)):
-            side.append(F.lit(c.weight) * F.when(usable, F.pow(F.greatest(gap / ideal, F.lit(0.0)), order)).otherwise(0.5**order))
-    plus, minus = (F.pow(functools.reduce(lambda a, b: a + b, side), 1 / order) for side in (to_ideal, to_anti))
-    return scored.withColumn("closeness", minus / (plus + minus)).select(*df.drop("closeness").columns, "closeness")
+        value, ideal = F.col(f"__w{i}") / F.col(f"__n{i}"), F.col(f"__range{i}") / F.col(f"__n{i}")
+        for side, gap in ((to_ideal, ideal - value), (to_anti, value)):
+            side.append(F.coalesce(F.lit(c.weight) * gap * gap, F.lit(0.0)))
+    plus, minus = (F.sqrt(functools.reduce(lambda a, b: a + b, side)) for side in (to_ideal, to_anti))
+    near = F.when(plus + minus > 0, minus / (plus + minus)).otherwise(0.5)
+    return scored.withColumn("closeness", near).select(*df.drop("closeness").columns, "closeness")
 
 
 def top_per_group(df: DataFrame, group: str, tie: str, k: int) -> DataFrame:
