@@ -44,7 +44,8 @@ def test_not_the_mean_of_scaled_scores(spark):
     df = spark.createDataFrame([("g", i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "g string, id int, a double, b double")
     got = np.array([r.closeness for r in closeness(df, "g", [Criterion("a", winsor=0.0), Criterion("b", winsor=0.0)]).orderBy("id").collect()])
     v = np.stack([a / np.linalg.norm(a), b / np.linalg.norm(b)])
-    plus, minus = np.sqrt(((v.max(1, keepdims=True) - v) ** 2).sum(0)), np.sqrt((v**2).sum(0))
+    ideal = v.max(1, keepdims=True)
+    plus, minus = np.sqrt(((ideal - v) ** 2 / ideal).sum(0)), np.sqrt((v**2 / ideal).sum(0))
     assert np.allclose(got, minus / (plus + minus))
     mean = (a / 10 + b / 10) / 2
     assert list(np.argsort(-got)) != list(np.argsort(-mean)) and np.abs(got - mean).max() > 0.02

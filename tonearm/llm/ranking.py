@@ -3,7 +3,8 @@
 Within each group every criterion is winsorised to its own quantiles, shifted
 to start at zero, and divided by its vector norm over the group, so that the squared
 distances of the candidates to the anti-ideal add up to the same for each criterion, whatever its scale, and one whose values
-crowd near its best does not outweigh the others. The ideal point takes the best value
+crowd near its best does not outweigh the others. A criterion's weight is multiplied by the share of the group's candidates
+that have it and divided by the distance of its ideal from its anti-ideal: one known for few, or with a few values far out, decides less. The ideal point takes the best value
 of each criterion, the anti-ideal the worst. Candidates are ordered by relative
 closeness ``d(anti) / (d(ideal) + d(anti))`` of the weighted Euclidean distances.
 """
@@ -52,13 +53,14 @@ def closeness(df: DataFrame, group: str, criteria: list[Criterion]) -> DataFrame
             F.percentile_approx(f"__x{i}", [c.winsor, 1 - c.winsor], 10000).alias(f"__q{i}"),
             F.min(f"__x{i}").alias(f"__min{i}"),
             F.max(f"__x{i}").alias(f"__max{i}"),
+            (F.count(f"__x{i}") / F.count(F.lit(1))).alias(f"__known{i}"),
         ]
     limits = base.groupBy(F.col(group).alias("__g")).agg(*quantiles)
     for i in range(len(criteria)):  # where the quantiles coincide the whole range is used
         flat = F.col(f"__q{i}")[0] >= F.col(f"__q{i}")[1]
         low, high = F.when(flat, F.col(f"__min{i}")).otherwise(F.col(f"__q{i}")[0]), F.when(flat, F.col(f"__max{i}")).otherwise(F.col(f"__q{i}")[1])
         limits = limits.withColumns({f"__lo{i}": low, f"__range{i}": high - low})
-    limits = limits.select("__g", *(f"__{k}{i}" for i in range(len(criteria)) for k in ("lo", "range")))
+    limits = limits.select("__g", *(f"__{k}{i}" for i in range(len(criteria)) for k in ("lo", "range", "known")))
 
     def above(i: int) -> Column:
         """The winsorised value above the worst one; a missing one is midway, and all of an unusable criterion are null."""
@@ -72,7 +74,7 @@ def closeness(df: DataFrame, group: str, criteria: list[Criterion]) -> DataFrame
     for i, c in enumerate(criteria):
         value, ideal = F.col(f"__w{i}") / F.col(f"__n{i}"), F.col(f"__range{i}") / F.col(f"__n{i}")
         for side, gap in ((to_ideal, ideal - value), (to_anti, value)):
-            side.append(F.coalesce(F.lit(c.weight) * gap * gap, F.lit(0.0)))
+            side.append(F.coalesce(F.lit(c.weight) * F.col(f"__known{i}") / ideal * gap * gap, F.lit(0.0)))
     plus, minus = (F.sqrt(functools.reduce(lambda a, b: a + b, side)) for side in (to_ideal, to_anti))
     near = F.when(plus + minus > 0, minus / (plus + minus)).otherwise(0.5)
     return scored.withColumn("closeness", near).select(*df.drop("closeness").columns, "closeness")
