@@ -78,7 +78,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Wanted and reached share of every source."""
     _, report = mixing.balance(table(spark, d, "documents"), table(spark, d, "mix_targets"))
-    return report.select("source", "documents", "tokens", "capacity", "reachable", "mixed_tokens", F.round("target_share", 6).alias("target_share"), F.round("share", 6).alias("share"))
+    return report.select("source", "documents", "tokens", "capacity", "reachable", "mixed_tokens", F.round("target_share", 6).alias("target_share"), F.round("share", 6).alias("share"), F.round("share_of_wanted", 6).alias("share_of_wanted"))
 
 
 def _stretches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame | None]:
