@@ -39,3 +39,36 @@ def test_found_and_edges(spark):
     assert train(docs.limit(0)) is None
     codes = spark.createDataFrame([("pt-BR",), ("Russian",), ("und",), ("",), (None,), ("NL",)], "l string").select(label_code(F.col("l")).alias("c")).collect()
     assert [x.c for x in codes] == ["pt", "ru", None, None, None, "nl"]
+
+
+def test_sentences_of_other_scripts_and_capitals():
+    assert [s for s, _ in sentences("これは音楽についての文章です。とても良い曲だと思います。")] == ["これは音楽についての文章です。", "とても良い曲だと思います。"]
+    assert len(list(sentences("यह संगीत के बारे में एक वाक्य है। यह बहुत अच्छा गीत है।"))) == 2
+    assert [r for _, r in sentences("THIS RECORD WAS REALLY VERY GOOD.")] == [" this record was really very good. "]
+    assert [s for s, _ in sentences('He said "stop." Then all of us went home again. (It was late then.) We slept at once!')] == ["Then all of us went home again.", "(It was late then.)", "We slept at once!"]
+
+
+def test_languages_not_learned_and_texts_without_sentences(spark):
+    r = random.Random(5)
+    rows = [(i, say(c, r), c) for i in range(180) for c in [["en", "de", "fr"][i % 3]]]
+    polish = "Ta płyta jest naprawdę bardzo dobra i chciałbym ją usłyszeć jeszcze raz. Nie wiem jednak, czy ktoś ją ma."
+    rows += [(2000, polish, "pl"), (2001, polish, "Polish"), (2002, say("de", r), "pl"), (2003, say("de", r).replace(".", ""), None), (2004, "123 !!", None), (2005, say("fr", r), "sv-SE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert model.codes == ["de", "en", "fr"]
+    segments = stretches(docs, model)
+    assert sorted((x.doc_id, x.lang) for x in corrected(docs, segments).collect()) == [(2002, "de"), (2005, "fr")]
+    by = {x.doc_id: x for x in segments.where("doc_id >= 2000").collect()}
+    assert by[2000].lang is None and by[2001].lang is None and by[2003].lang == "de" and by[2003].n_sentences == 0 and by[2003].confidence <= 0.5 and 2004 not in by
+
+
+def test_a_language_learned_from_its_labels(spark):
+    r = random.Random(6)
+    a, b = "ta szybka rzeka, cichy ogród, ten stary album, każda dobra piosenka, długi wieczór".split(", "), "została zagrana zanim ludzie wyszli, brzmiała lepiej niż myśleliśmy, nigdy nie powinna być zapomniana".split(", ")
+    pl = lambda: " ".join(f"{r.choice(a).capitalize()} {r.choice(b)} {r.choice(a)}." for _ in range(6))
+    rows = [(i, say(c, r), c) for i in range(300) for c in [["en", "de", "fr"][i % 3]]] + [(1000 + i, pl(), "pl") for i in range(40)] + [(1500 + i, say("en", r), "sv") for i in range(12)] + [(2000, pl(), None), (2001, pl(), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert model.codes == ["de", "en", "fr", "pl"]
+    got = sorted((x.doc_id, x.lang) for x in corrected(docs, stretches(docs, model)).collect())
+    assert got == [(1500 + i, "en") for i in range(12)] + [(2000, "pl"), (2001, "pl")]

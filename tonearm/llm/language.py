@@ -14,6 +14,7 @@ Everything else reads every sentence of every document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tonearm.plans.staging import spread
 
-# Two-letter code, then other ways to write the language.
+# Two-letter code, then other ways to write the language. A label outside this list stands for itself.
 LANGUAGES = {
     "en": ["eng", "english"],
     "de": ["deu", "ger", "german", "deutsch"],
@@ -35,25 +36,48 @@ LANGUAGES = {
     "it": ["ita", "italian", "italiano"],
     "nl": ["nld", "dut", "dutch", "nederlands"],
     "ru": ["rus", "russian", "русский"],
+    "pl": ["pol", "polish", "polski"],
+    "sv": ["swe", "swedish", "svenska"],
+    "da": ["dan", "danish", "dansk"],
+    "no": ["nor", "nob", "norwegian", "norsk"],
+    "fi": ["fin", "finnish", "suomi"],
+    "cs": ["ces", "cze", "czech", "čeština"],
+    "hu": ["hun", "hungarian", "magyar"],
+    "tr": ["tur", "turkish", "türkçe"],
+    "el": ["ell", "gre", "greek", "ελληνικά"],
+    "uk": ["ukr", "ukrainian", "українська"],
+    "ja": ["jpn", "japanese", "日本語"],
+    "zh": ["zho", "chi", "chinese", "中文"],
+    "ko": ["kor", "korean", "한국어"],
+    "ar": ["ara", "arabic", "العربية"],
+    "hi": ["hin", "hindi", "हिन्दी"],
 }
+# Labels that name no language.
+UNKNOWN = ["und", "unknown", "none", "null", "n", "na", "nan", "mul", "mis", "zxx", "xx", "zz"]
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the labelled sample and the model. ``documents``: labelled documents read at most per language, ``per_document``: sentences of each, evenly spaced."""
+    """Bounds of the labelled sample and the model. ``documents``: labelled documents read at most per language, ``per_document``: sentences of each, evenly spaced.
+
+    ``least``: labelled sentences a language must have to be learned. ``strange``: a stretch whose mean score is under this share of what its language's own
+    sentences score in the median is of no language the model has.
+    """
 
     documents: int = 400
     per_document: int = 3
     landmarks: int = 60
     ridge: float = 1e-3
     longest: int = 5
+    least: int = 20
+    strange: float = 0.2
     languages: dict[str, list[str]] = field(default_factory=lambda: LANGUAGES)
 
 
 def label_code(label: Column, languages: dict[str, list[str]] = LANGUAGES) -> Column:
-    """The two-letter code a label means in any notation (``en_US``, ``eng``, ``English``), else null."""
-    head = F.regexp_extract(F.lower(F.trim(label)), r"^(\p{L}+)", 1)
-    out = F.lit(None).cast("string")
+    """The two-letter code a label means in any notation (``en_US``, ``eng``, ``English``), the label's own first word for others, null if it names none."""
+    head = F.regexp_extract(F.lower(F.trim(label)), r"^([\p{L}\p{M}]+)", 1)
+    out = F.when((head != "") & ~head.isin(*UNKNOWN), head)
     for code, names in languages.items():
         out = F.when(head.isin(code, *names), code).otherwise(out)
     return out
@@ -62,31 +86,44 @@ def label_code(label: Column, languages: dict[str, list[str]] = LANGUAGES) -> Co
 _NOISE = regex.compile(r"https?://\S+|www\.\S+|</?\w[^>]*>|(?m:^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?|@[\w.-]+:?|\d+[.)]|[-*•])\s+)")
 _WRAP = regex.compile(r"\s*\n>[ \t]*")
 _QUOTE = regex.compile(r"\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|„[^“”\n]{1,80}[“”]|«[^»\n]{1,80}»|‘[^’\n]{1,60}’")
-_END = regex.compile(r"(?<=[.!?…][\"”»)’]?)\s+|\n+")
+_END = re.compile(r"[.!?…؟][\"”»)’]?(\s+)|[。！？।॥][\"”』」）]?(\s*)|(\n+)")
+_ENDING = ".!?…؟。！？।॥\"”»)’』」）"
 _DIGITS = regex.compile(r"\d+")
 _LOWER = regex.compile(r"\b\p{Ll}{2,}|\b\p{Ll}\b|[\p{Lo}]")
+_CASELESS = regex.compile(r"\p{Lo}")
 
 
 def sentences(text: str) -> Iterator[tuple[str, str]]:
     """The whole sentences of ``text``: as they stand, and what the classifier reads of them.
 
     Left out are headings, list entries, and lines without an ending mark; markup, links, time codes, speaker tags and digits
-    are blanked, as are words in quotation marks and capitalised words after the first (cited titles and names).
+    are blanked, as are words in quotation marks and capitalised words after the first (cited titles and names). A sentence wholly in
+    capitals is read in small letters. Scripts without small letters or blanks end their sentences by their own marks.
     """
     text = _WRAP.sub(" ", text)
     text = _NOISE.sub(lambda m: "\n" if m.group().startswith("<") else " ", text)
-    for s in _END.split(text):
-        s = s.strip()
-        if not s or s[-1] not in ".!?…\"”»)’":
+    cuts = [m.span(m.lastindex) for m in _END.finditer(text)]
+    for start, end in zip([0, *(e for _, e in cuts)], [*(a for a, _ in cuts), len(text)]):
+        s = text[start:end].strip()
+        if not s or s[-1] not in _ENDING:
             continue
         plain = _DIGITS.sub(" ", _QUOTE.sub(" ", s))
+        if plain.isupper() and len(plain.split()) >= 6:
+            plain = plain.lower()
         first, _, rest = plain.partition(" ")
         words = [w for w in rest.split() if not w[:1].isupper()]
-        if len(words) < 3 or len(_LOWER.findall(plain)) < 3:
+        if (len(words) < 3 or len(_LOWER.findall(plain)) < 3) and len(_CASELESS.findall(plain)) < 6:
             continue
         yield s, " " + " ".join([first, *words]).lower() + " "
 
 
+def longest_line(text: str) -> tuple[str, str] | None:
+    """For a text without a whole sentence, its line of most letters, and what the classifier reads of it; None without letters."""
+    lines = [_DIGITS.sub(" ", x).strip() for x in _NOISE.sub(" ", text).split("\n")]
+    best = max(lines, key=lambda x: sum(map(str.isalpha, x)), default="")
+    return (best, " " + best.lower() + " ") if any(map(str.isalpha, best)) else None
+
+
 def grams(texts: list[str], longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, n-gram) pairs: text numbers in rising order, and hashes of the n-grams."""
     codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in texts]
@@ -123,10 +160,13 @@ class SpectrumModel:
         for again in range(3):
             if again:  # repeats are needed first, so that contradicting sentences stay a minority
                 kept = sorted(set(kept))
-            codes = sorted({c for c, _ in kept})
+            by: dict[str, list[str]] = {}
+            for c, t in kept:
+                by.setdefault(c, []).append(t)
+            by = {c: by[c] for c in sorted(by) if len(by[c]) >= rule.least}
+            kept, codes = [r for r in kept if r[0] in by], list(by)
             if len(codes) < 2:
                 return model
-            by = {c: [t for k, t in kept if k == c] for c in codes}
             marks = [t for c in codes for t in by[c][:: max(1, len(by[c]) // rule.landmarks)][: rule.landmarks]]
             owner, keys = grams(marks, rule.longest)
             vocabulary, place = np.unique(keys, return_inverse=True)
@@ -139,39 +179,52 @@ class SpectrumModel:
             base = (z.T @ whiten).astype(np.float32)
             features = cls(codes, vocabulary, base, rule.longest).score([t for _, t in kept])
             bias = np.hstack([features, np.ones((len(features), 1))]).astype(np.float64)
-            share = {c: len(kept) / (len(codes) * len(by[c])) for c in codes}
+            # at first unweighted: a language that only wrong labels name then loses its sentences to their true one
+            share = {c: len(kept) / (len(codes) * len(by[c])) if again else 1.0 for c in codes}
             weight = np.array([share[c] for c, _ in kept])[:, None]
             target = np.array([[1.0 if c == k else -1.0 for k in codes] for c, _ in kept])
             gram = bias.T @ (weight * bias) + rule.ridge * len(kept) * np.eye(bias.shape[1])
             solved = np.linalg.solve(gram, bias.T @ (weight * target))
             model = cls(codes, vocabulary, (base @ solved[:-1]).astype(np.float32), rule.longest)
             model.offset = solved[-1]
-            guess = model.classify([t for _, t in kept])[0]
-            kept = [r for r, g in zip(kept, guess) if r[0] == codes[g]]
+            guess, _, level = model.classify([t for _, t in kept])
+            right = np.array([r[0] == codes[g] for r, g in zip(kept, guess)], dtype=bool)
+            model.typical = np.array([np.median(level[right & (guess == k)]) if (right & (guess == k)).any() else 0.0 for k in range(len(codes))])
+            share_right = {c: np.mean([o for r, o in zip(kept, right) if r[0] == c]) for c in codes}
+            kept = [r for r, o in zip(kept, right) if o and share_right[r[0]] >= 0.5]
         return model
 
     offset: np.ndarray | float = 0.0
+    typical: np.ndarray | float = 0.0
 
     def score(self, texts: list[str], batch: int = 500) -> np.ndarray:
-        out = np.zeros((len(texts), self.weights.shape[1]))
+        return self._score(texts, batch)[0]
+
+    def _score(self, texts: list[str], batch: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel scores, and the share of each text's n-grams that the landmarks have."""
+        out, share = np.zeros((len(texts), self.weights.shape[1])), np.zeros(len(texts))
         for start in range(0, len(texts), batch):
             part = texts[start : start + batch]
             owner, keys = grams(part, self.longest)
             total = np.bincount(owner, minlength=len(part)).clip(1)
             at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
             known = self.keys[at] == keys
-            present = np.zeros((len(part), len(self.keys)), dtype=np.float32)
-            present[owner[known], at[known]] = 1
-            out[start : start + len(part)] = (present @ self.weights) / np.sqrt(total)[:, None]
-        return out
-
-    def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The best language of each text and its share of a softmax over the ridge scores."""
+            owner, at = owner[known], at[known]
+            share[start : start + len(part)] = np.bincount(owner, minlength=len(part)) / total
+            if len(owner):  # sums of the rows of each text's known n-grams
+                starts = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+                out[start + owner[starts]] = np.add.reduceat(self.weights[at], starts, axis=0)
+            out[start : start + len(part)] /= np.sqrt(total)[:, None]
+        return out, share
+
+    def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best language of each text, its share of a softmax over the ridge scores, and how like the language it is: the score, brought to 0 to 1, times the share of known n-grams."""
         if not texts:
-            return np.zeros(0, dtype=int), np.zeros(0)
-        s = 4 * (self.score(texts) + self.offset)
+            return np.zeros(0, dtype=int), np.zeros(0), np.zeros(0)
+        s, share = self._score(texts)
+        s = 4 * (s + self.offset)
         e = np.exp(s - s.max(axis=1, keepdims=True))
-        return s.argmax(axis=1), (e / e.sum(axis=1, keepdims=True)).max(axis=1)
+        return s.argmax(axis=1), (e / e.sum(axis=1, keepdims=True)).max(axis=1), share * (s.max(axis=1) / 4 + 1) / 2
 
 
 def train(documents: DataFrame, rule: Fit = Fit(), doc_id: str = "doc_id", text: str = "text", label: str = "lang") -> SpectrumModel | None:
@@ -192,48 +245,50 @@ def train(documents: DataFrame, rule: Fit = Fit(), doc_id: str = "doc_id", text:
 SEGMENTS = "doc_id long, segment int, lang string, confidence double, n_sentences int, text string"
 
 
-def stretches(documents: DataFrame, model: SpectrumModel, doc_id: str = "doc_id", text: str = "text", smooth: float = 0.6) -> DataFrame:
+def stretches(documents: DataFrame, model: SpectrumModel, doc_id: str = "doc_id", text: str = "text", smooth: float = 0.6, strange: float = Fit().strange) -> DataFrame:
     """(doc_id, segment, lang, confidence, n_sentences, text): each document cut where its language changes.
 
-    A sentence decided with less than ``smooth`` joins the stretch before it (the first one the stretch after it). Documents without a
-    whole sentence give no row, null texts neither; a document of any length is read whole; repeated rows come out repeatedly.
+    A sentence decided with less than ``smooth`` joins the stretch before it (the first one the stretch after it). A document without a
+    whole sentence gives its longest line as one stretch of 0 sentences at half the confidence. A stretch unlike every language the
+    model has gets a null language and no confidence. Null texts and texts without letters give no row; a document of any length is read whole; repeated rows come out repeatedly.
     """
     spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast((model.codes, model.keys, model.weights, model.offset, model.longest))  # bounded by the landmarks
+    sent = spark.sparkContext.broadcast((model.codes, model.keys, model.weights, model.offset, model.longest, strange * model.typical))  # bounded by the landmarks
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, keys, weights, offset, longest = sent.value
+        codes, keys, weights, offset, longest, floor = sent.value
         own = SpectrumModel(codes, keys, weights, longest)
         own.offset = offset
         for b in batches:
             owner: list[int] = []
             shown: list[str] = []
             read: list[str] = []
+            whole: list[bool] = []
+            starts: list[int] = []
             for i, t in zip(b["doc_id"], b["text"]):
-                for s, r in sentences(t):
-                    owner.append(i)
-                    shown.append(s)
-                    read.append(r)
+                own_sentences = list(sentences(t))
+                found = own_sentences or [x for x in [longest_line(t)] if x]
+                starts += [len(owner)] if found else []
+                owner += [i] * len(found)
+                whole += [bool(own_sentences)] * len(found)
+                shown += [x for x, _ in found]
+                read += [x for _, x in found]
             distinct = {r: k for k, r in enumerate(dict.fromkeys(read))}
-            best, sure = own.classify(list(distinct))
+            best, sure, level = own.classify(list(distinct))
             rows = []
-            k = 0
-            while k < len(owner):
-                end = k
-                while end < len(owner) and owner[end] == owner[k]:
-                    end += 1
-                part = [(best[distinct[r]], sure[distinct[r]], s) for r, s in zip(read[k:end], shown[k:end])]
-                lang = next((g for g, p, _ in part if p >= smooth), part[0][0])
+            for k, end in zip(starts, [*starts[1:], len(owner)]):
+                part = [(best[distinct[r]], sure[distinct[r]], level[distinct[r]], s) for r, s in zip(read[k:end], shown[k:end])]
+                lang = next((g for g, p, _, _ in part if p >= smooth), part[0][0])
                 runs: list[list] = []
-                for g, p, s in part:
+                for g, p, x, s in part:
                     lang = g if p >= smooth else lang
-                    if runs and runs[-1][0] == lang:
-                        runs[-1][1].append(p if g == lang else 1 - p)
-                        runs[-1][2].append(s)
-                    else:
-                        runs.append([lang, [p if g == lang else 1 - p], [s]])
-                rows += [(owner[k], n, codes[g], float(np.mean(p)), len(s), " ".join(s)) for n, (g, p, s) in enumerate(runs)]
-                k = end
+                    if not runs or runs[-1][0] != lang:
+                        runs.append([lang, [], [], []])
+                    for into, value in zip(runs[-1][1:], (p if g == lang else 1 - p, x, s)):
+                        into.append(value)
+                for n, (g, p, x, s) in enumerate(runs):
+                    known = np.mean(x) >= floor[g]
+                    rows.append((owner[k], n, codes[g] if known else None, float(np.mean(p)) * (1.0 if whole[k] else 0.5) if known else 0.0, len(s) if whole[k] else 0, " ".join(s)))
             yield pd.DataFrame(rows, columns=["doc_id", "segment", "lang", "confidence", "n_sentences", "text"])
 
     docs = documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -241,8 +296,11 @@ def stretches(documents: DataFrame, model: SpectrumModel, doc_id: str = "doc_id"
 
 
 def corrected(documents: DataFrame, segments: DataFrame, doc_id: str = "doc_id", label: str = "lang") -> DataFrame:
-    """(doc_id, lang, confidence) of documents whose label is missing or names a language not in them, and of all in several languages."""
-    per = segments.groupBy("doc_id", "lang").agg(F.sum(F.col("confidence") * F.col("n_sentences")).alias("c"), F.sum("n_sentences").alias("n"))
+    """(doc_id, lang, confidence) of documents whose label is missing or names a language not in them, and of all in several languages.
+
+    Only languages recognised in whole sentences count, so a document of a language the model does not have keeps its label.
+    """
+    per = segments.where("lang is not null and n_sentences > 0").groupBy("doc_id", "lang").agg(F.sum(F.col("confidence") * F.col("n_sentences")).alias("c"), F.sum("n_sentences").alias("n"))
     per = per.groupBy("doc_id").agg(F.collect_list(F.struct("lang", (F.col("c") / F.col("n")).alias("confidence"))).alias("found"))
     labels = documents.select(F.col(doc_id).cast("long").alias("doc_id"), label_code(F.col(label)).alias("code"))
     joined = labels.join(per, "doc_id")
