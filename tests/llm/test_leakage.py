@@ -88,3 +88,36 @@ def test_retrieval_loses_nothing_the_verification_accepts():
                 doc = np.array([index.read(w) for w in text.split()])
                 want = {q for q, score, words in zip(every, *index.align(every, doc)) if words >= 17 and score >= 14}
                 assert p in want and {q for q, _, _ in index.leaks(text)} == want
+
+
+def test_few_and_many_items(spark):
+    """One or two items are found like many; beyond a shard the counts of all items hold."""
+    r = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    big = ["".join(r.choices(syllables, k=r.randint(2, 4))) for _ in range(6000)]
+    texts = [" ".join(r.choices(big, k=30)) for _ in range(30_000)]
+    for n in (1, 2, 300):
+        index = PassageIndex(list(enumerate(texts[:n])), Overlap())
+        assert all([p for p, _, _ in index.leaks("before it " + texts[k] + " after it")] == [k] for k in range(min(n, 20)))
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, passage string")
+    docs = spark.createDataFrame([(k, "some other words " * 20 + texts[k] + " end") for k in range(0, 30_000, 3000)] + [(1, "nothing of it")], "doc_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in leaked(docs, items).collect()) == [(k, k) for k in range(0, 30_000, 3000)]
+
+
+def test_order_test_in_bits_against_a_table():
+    items = passages(70, seed=11) + [(100, "ka ka ka ka"), (101, WORDS[0])]
+    index = PassageIndex(items, Overlap(words=11))
+    r = random.Random(12)
+    for _ in range(20):
+        doc = np.array([r.randrange(-1, len(index.vocabulary)) for _ in range(120)], dtype=np.int32)
+        want = []
+        for p, words in enumerate(index.words):
+            row = [0] * (len(doc) + 1)
+            for w in words.tolist():
+                new = [0]
+                for j, x in enumerate(doc.tolist(), 1):
+                    new.append(max(row[j], new[-1], row[j - 1] + (w == x)))
+                row = new
+            if row[-1] >= min(11, len(words)):
+                want.append(p)
+        assert index.possible(np.arange(len(items)), doc) == want

@@ -1,11 +1,12 @@
 """Held-out passages inside training documents.
 
 The held-out passages form a BM25 inverted index with block maxima. Every
-document, whole, is a query against it, evaluated with block-max WAND,
-so blocks of postings whose best possible sum stays under the threshold are
-never scored. The threshold is each passage's own: the least that any words of it which the verification
+document, whole, is a query against it, evaluated by block-max WAND over blocks of passages: the pivot test, whether
+the maxima of the document's terms add up to the threshold, is made for all blocks in one sum, and only postings in blocks that pass
+are scored. The threshold is each passage's own: the least that any words of it which the verification
 accepts can score, wherever in the document they stand, so nothing the verification accepts is lost. Each document and
-passage found that way is verified by aligning the passage's words, in their order, with the whole document.
+passage found that way is verified: first the longest common subsequence of their words, in bit-parallel form for many passages together,
+then an alignment of the passage's words, in their order, with the whole document.
 
 Words of a document that are no passage word but one edit away from one (a typo) are read as
 that word, before both the search and the alignment.
@@ -13,8 +14,8 @@ that word, before both the search and the alignment.
 
 from __future__ import annotations
 
-import bisect
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.lookalike import canonical
-from tonearm.plans.staging import spread
+from tonearm.plans.staging import spread, stage
 
 _WORD = regex.compile(r"[^\W_]+")
 
@@ -35,7 +36,7 @@ _WORD = regex.compile(r"[^\W_]+")
 class Overlap:
     """When a document gives a passage away.
 
-    ``retrieve``: the number to which BM25 is scaled so that it is every passage's own limit. ``block``: passages or postings in a block at most, ``table``: most cells of the table of block maxima.
+    ``retrieve``: the number to which BM25 is scaled so that it is every passage's own limit. ``block``: passages in a block.
     ``words``: least aligned words (a shorter passage must be there wholly), ``score``: least alignment score. The number of words decides; the gaps cost
     so little that 20 words with 8 more changed, or in 5 pieces, reach the score, and only reject words scattered over much more of the passage.
     """
@@ -46,7 +47,6 @@ class Overlap:
     k1: float = 1.2
     b: float = 0.5
     block: int = 4
-    table: int = 8_000_000
     passage_gap: float = 0.6
     document_gap: float = 0.1
     jump: float = 1.5
@@ -74,45 +74,36 @@ def one_edit(a: str, b: str) -> bool:
 class PassageIndex:
     """BM25 over passages: postings by term in passage order, cut into blocks with the block's greatest impact."""
 
-    def __init__(self, passages: list[tuple[int, str]], rule: Overlap) -> None:
+    def __init__(self, passages: list[tuple[int, str]], rule: Overlap, corpus: tuple[int, float, dict[str, int]] | None = None) -> None:
+        """``corpus``: number, mean length and word counts of all passages, where these are only some of them."""
         self.rule = rule
         self.ids = [i for i, _ in passages]
         self.tokens = [words_of(p) for _, p in passages]
         lengths = [len(t) for t in self.tokens]
-        mean = max(1.0, sum(lengths) / max(1, len(lengths)))
-        counts = Counter(w for t in self.tokens for w in set(t))
-        self.vocabulary = {w: k for k, w in enumerate(sorted(counts))}
+        n, mean, counts = corpus or (len(passages), sum(lengths) / max(1, len(lengths)), Counter(w for t in self.tokens for w in set(t)))
+        mean = max(1.0, mean)
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in self.tokens for w in t}))}
         self.words = [np.array([self.vocabulary[w] for w in t], dtype=np.int32) for t in self.tokens]
-        self.padded = np.full((len(passages), max([1, *lengths])), len(self.vocabulary), dtype=np.int32)
-        for p, w in enumerate(self.words):
-            self.padded[p, : len(w)] = w
-        self.own = np.zeros((len(passages), len(self.vocabulary) + 1), dtype=bool)
-        for p, w in enumerate(self.words):
-            self.own[p, w] = True
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        n = len(passages)
         for p, t in enumerate(self.tokens):
+            weight = {}
             for w, tf in Counter(t).items():
                 idf = math.log(1 + (n - counts[w] + 0.5) / (counts[w] + 0.5))
-                postings[self.vocabulary[w]].append((p, idf * tf * (rule.k1 + 1) / (tf + rule.k1 * (1 - rule.b + rule.b * lengths[p] / mean))))
-        weight: list[dict[int, float]] = [{} for _ in passages]
-        for t, pl in enumerate(postings):
-            for p, x in pl:
-                weight[p][t] = x
-        scale = [rule.retrieve / self._least(p, weight[p]) if t else 0.0 for p, t in enumerate(self.tokens)]
-        postings = [[(p, x * scale[p]) for p, x in pl] for pl in postings]
+                weight[self.vocabulary[w]] = idf * tf * (rule.k1 + 1) / (tf + rule.k1 * (1 - rule.b + rule.b * lengths[p] / mean))
+            scale = rule.retrieve / self._least(p, weight) if t else 0.0
+            for w, x in weight.items():
+                postings[w].append((p, x * scale))
         self.postings = postings
-        self.impact = [dict(pl) for pl in postings]
-        self.places = [[p for p, _ in pl] for pl in postings]
-        wide = -(-max(1, n) // rule.block)
-        self.bounds = None
-        if len(postings) * wide <= rule.table:  # maxima by block of passages, for skipping whole blocks in one sum
-            self.bounds = np.zeros((len(postings), wide), dtype=np.float32)
-            for t, pl in enumerate(postings):
-                for p, x in pl:
-                    self.bounds[t, p // rule.block] = max(self.bounds[t, p // rule.block], x)
-        self.best = [max(x for _, x in pl) for pl in postings]
-        self.blocks = [[(pl[min(k + rule.block, len(pl)) - 1][0], max(x for _, x in pl[k : k + rule.block])) for k in range(0, len(pl), rule.block)] for pl in postings]
+        self.at = [np.array([p for p, _ in pl], dtype=np.int32) for pl in postings]
+        self.impact = [np.array([x for _, x in pl]) for pl in postings]
+        self.block_at, self.block_max = [], []  # of each term, the blocks it occurs in and its greatest impact there
+        for p, x in zip(self.at, self.impact):
+            starts = np.flatnonzero(np.r_[True, np.diff(p // rule.block) > 0])
+            self.block_at.append(p[starts] // rule.block)
+            self.block_max.append(np.maximum.reduceat(x, starts))
+        self.first = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, dtype=np.int32)
+        self.masks: dict[int, dict[int, int]] = {}
         self.near: dict[str, set[str]] = {}
         for w in self.vocabulary:
             if len(w) >= 4:
@@ -153,96 +144,70 @@ class PassageIndex:
             self.known[word] = found
         return found
 
-    def ranges(self, terms: np.ndarray) -> list[tuple[int, int]]:
-        """Runs of passages in whose blocks the terms' block maxima add up to the threshold; everything else is skipped."""
-        if self.bounds is None:
-            return [(0, len(self.ids))]
-        good = np.flatnonzero(self.bounds[terms].sum(0) >= self.rule.retrieve - 1e-4)
-        if not len(good):
-            return []
-        cuts = np.flatnonzero(np.diff(good) > 1) + 1
-        return [(int(g[0]) * self.rule.block, min((int(g[-1]) + 1) * self.rule.block, len(self.ids))) for g in np.split(good, cuts)]
-
-    def search(self, terms: list[int], first: int = 0, end: int | None = None) -> Iterator[int]:
-        """Block-max WAND: the passages from ``first`` up to ``end`` whose BM25 with ``terms`` is at least the threshold."""
-        full = self.rule.retrieve
-        terms = sorted(terms, key=self.best.__getitem__)
-        if sum(self.best[t] for t in terms) < full:
-            return
-        minor, spare = 0, 0.0  # frequent words: bounded together, and only looked up
-        while minor < len(terms) and spare + self.best[terms[minor]] <= 0.3 * full:
-            spare += self.best[terms[minor]]
-            minor += 1
-        looked_up, lists = terms[:minor], terms[minor:]
-        need = full - spare
-        end = len(self.ids) if end is None else end
-        at = {t: bisect.bisect_left(self.places[t], first) for t in lists}
-        lists = [t for t in lists if at[t] < len(self.places[t]) and self.places[t][at[t]] < end]
-        block = {t: at[t] // self.rule.block for t in lists}
-        where = lambda t: self.postings[t][at[t]][0] if at[t] < len(self.postings[t]) else end
-
-        def move(t: int, to: int) -> None:
-            blocks, pl = self.blocks[t], self.postings[t]
-            while block[t] < len(blocks) and blocks[block[t]][0] < to:
-                block[t] += 1
-            k = max(at[t], block[t] * self.rule.block)
-            while k < len(pl) and pl[k][0] < to:
-                k += 1
-            at[t] = k
-
-        while True:
-            lists = sorted((t for t in lists if at[t] < len(self.postings[t])), key=where)
-            total, pivot = 0.0, None
-            for k, t in enumerate(lists):
-                total += self.best[t]
-                if total >= need:
-                    pivot = k
-                    break
-            if pivot is None:
-                return
-            p = where(lists[pivot])
-            if p >= end:
-                return
-            while pivot + 1 < len(lists) and where(lists[pivot + 1]) == p:
-                pivot += 1
-            bound, reach = 0.0, end
-            for t in lists[: pivot + 1]:
-                b = block[t]
-                blocks = self.blocks[t]
-                while b < len(blocks) and blocks[b][0] < p:
-                    b += 1
-                if b < len(blocks):
-                    bound += blocks[b][1]
-                    reach = min(reach, blocks[b][0] + 1)
-            if bound < need:  # no passage before the first block's end can do it
-                if pivot + 1 < len(lists):
-                    reach = min(reach, where(lists[pivot + 1]))
-                for t in lists[: pivot + 1]:
-                    move(t, max(reach, p + 1))
-                continue
-            for t in lists[: pivot + 1]:
-                if where(t) < p:
-                    move(t, p)
-            found = sum(self.postings[t][at[t]][1] for t in lists[: pivot + 1] if where(t) == p)
-            if found >= need and found + sum(self.impact[t].get(p, 0.0) for t in looked_up) >= full:
-                yield p
-            for t in lists[: pivot + 1]:
-                if where(t) == p:
-                    move(t, p + 1)
-
-    def candidates(self, doc: np.ndarray) -> set[int]:
+    def search(self, terms: list[int] | np.ndarray) -> np.ndarray:
+        """The passages whose BM25 with the distinct ``terms`` is at least the threshold, by block-max WAND."""
+        if not len(terms):
+            return np.zeros(0, dtype=np.int64)
+        full, block = self.rule.retrieve * (1 - 1e-9), self.rule.block
+        bound = np.bincount(np.concatenate([self.block_at[t] for t in terms]), np.concatenate([self.block_max[t] for t in terms]), minlength=len(self.ids) // block + 1)
+        pivots = bound >= full
+        if not pivots.any():
+            return np.zeros(0, dtype=np.int64)
+        at, impact = np.concatenate([self.at[t] for t in terms]), np.concatenate([self.impact[t] for t in terms])
+        inside = pivots[at // block]
+        return np.flatnonzero(np.bincount(at[inside], impact[inside], minlength=len(self.ids)) >= full)
+
+    def candidates(self, doc: np.ndarray) -> np.ndarray:
         terms = np.unique(doc)
-        terms = terms[terms >= 0]
-        return {p for lo, hi in (self.ranges(terms) if len(terms) else ()) for p in self.search(terms.tolist(), lo, hi)}
+        return self.search(terms[terms >= 0])
 
-    def possible(self, ps: list[int], doc: np.ndarray) -> list[int]:
-        """The passages whose best stretch could reach the score if all its words that the document has stood there in order."""
+    def dense(self, ps: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Those of the passages ``ps`` whose best stretch could reach the score if all its words that the document has stood there in order."""
+        if not len(ps):
+            return ps
         there = np.zeros(len(self.vocabulary) + 1, dtype=bool)
         there[doc[doc >= 0]] = True
-        total = np.where(there[self.padded[ps]], 1.0, -self.rule.passage_gap).cumsum(1)
-        before = np.minimum.accumulate(np.hstack([np.zeros((len(ps), 1)), total[:, :-1]]), axis=1)
-        top = (total - before).max(1)
-        return [p for p, x in zip(ps, top) if x >= min(self.rule.score, 0.75 * len(self.words[p])) - 1e-6]
+        begin, length = self.first[ps], self.first[ps + 1] - self.first[ps]
+        starts = np.cumsum(length) - length
+        words = self.flat[np.arange(length.sum()) + np.repeat(begin - starts, length)]
+        gain = np.where(there[words], 1.0, -self.rule.passage_gap)
+        total = np.cumsum(gain) - np.repeat(length.max() * np.arange(1, len(ps) + 1) * 4.0, length)  # each passage begins below all before it
+        low = np.minimum.accumulate(total - gain)
+        top = np.maximum.reduceat(total - low, starts)
+        return ps[top >= np.minimum(self.rule.score, 0.75 * length) - 1e-6]
+
+    def possible(self, ps: np.ndarray, doc: np.ndarray) -> list[int]:
+        """The passages of which enough words stand in the document in order: their longest common subsequence with it, in whole numbers of one bit a word.
+
+        Fields of many passages lie side by side in one number, each with a spare bit on top that takes its carry.
+        """
+        out = []
+        doc = doc[doc >= 0].tolist()
+        for start in range(0, len(ps), 64):
+            some = ps[start : start + 64].tolist()
+            there: dict[int, int] = {}
+            shift, shifts = 0, []
+            for p in some:
+                if p not in self.masks:
+                    own: dict[int, int] = {}
+                    for k, w in enumerate(self.words[p].tolist()):
+                        own[w] = own.get(w, 0) | 1 << k
+                    self.masks[p] = own
+                for w, m in self.masks[p].items():
+                    there[w] = there.get(w, 0) | m << shift
+                shifts.append(shift)
+                shift += len(self.words[p]) + 1
+            fields = sum(((1 << len(self.words[p])) - 1) << at for p, at in zip(some, shifts))
+            v = fields
+            for w in doc:
+                if (m := there.get(w)) is not None:
+                    u = v & m
+                    v = ((v + u) | (v - u)) & fields
+            for p, at in zip(some, shifts):
+                whole = len(self.words[p])
+                if whole - (v >> at & (1 << whole) - 1).bit_count() >= min(self.rule.words, whole):
+                    out.append(p)
+        return out
 
     def align(self, ps: list[int], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each passage, score and aligned words of the best chain of its words in their order.
@@ -252,18 +217,24 @@ class PassageIndex:
         aligned words is carried in the digits after them.
         """
         r, one = self.rule, 1 + 1e-5
-        place = np.flatnonzero(self.own[ps].any(0)[doc])  # -1, no passage word, reads the last place, which is False
-        doc, n = doc[place], len(place)
+        places = []
+        for p in ps:
+            wanted = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+            wanted[self.words[p]] = True
+            places.append(np.flatnonzero(wanted[doc]))  # -1, no passage word, reads the last place, which is False
+        n = max(map(len, places), default=0)
         if not n:
             return np.zeros(len(ps)), np.zeros(len(ps), dtype=int)
         rows = np.full((len(ps), max(len(self.words[p]) for p in ps)), -2, dtype=np.int32)
-        for k, p in enumerate(ps):
+        place, text = np.zeros((len(ps), n)), np.full((len(ps), n), -3, dtype=np.int32)
+        for k, (p, x) in enumerate(zip(ps, places)):
             rows[k, : len(self.words[p])] = self.words[p]
+            place[k, : len(x)], text[k, : len(x)] = x, doc[x]
         gap = r.document_gap * place
         best, top = np.full((len(ps), n), -1e9), np.zeros(len(ps))
         through, jumped = np.full((len(ps), n), -1e9), np.full((len(ps), n), -1e9)
         for w in rows.T:
-            hit = doc == w[:, None]
+            hit = text == w[:, None]
             if not hit.any():
                 best -= r.passage_gap
                 continue
@@ -278,7 +249,7 @@ class PassageIndex:
 
     def leaks(self, text: str) -> Iterator[tuple[int, int, float]]:
         doc = np.array([self.read(w) for w in words_of(text)], dtype=np.int32)
-        found = self.possible(sorted(self.candidates(doc)), doc) if len(doc) else []
+        found = self.possible(self.dense(self.candidates(doc), doc), doc) if len(doc) else []
         step = max(1, min(32, 1_000_000 // max(1, len(doc))))  # bounds the alignment's arrays in long documents
         for start in range(0, len(found), step):
             some = found[start : start + step]
@@ -288,27 +259,50 @@ class PassageIndex:
                     yield self.ids[p], int(words), round(float(score), 3)
 
 
+_INDEXES: dict[str, PassageIndex] = {}
+
+
+def _index(key: str, held, rule: Overlap) -> PassageIndex:
+    """The index of a shard, kept by the worker for its further tasks; of earlier shards none is kept."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = PassageIndex(held.value[0], rule, held.value[1])
+    return _INDEXES[key]
+
+
 def leaked(documents: DataFrame, items: DataFrame, rule: Overlap = Overlap(), *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id, words, score): every document with every passage it gives away, once each.
 
-    The passages are held-out material of limited size; their index is built from at most ``rule.shard`` at a time and
-    sent to the executors, further passages go through the same search in further shards. Documents are
-    searched where they lie, whole, without a shuffle.
+    The passages are held-out material of limited size; an index is built from about ``rule.shard`` of them at a time, with the word counts of all,
+    and sent to the executors, where each worker builds it once; further passages go through the same search in further shards. Documents are
+    searched whole, row by row; only where their files are fewer than the cores are they spread over more tasks first.
 
     Defined cases: null and empty documents or passages match nothing; a passage given twice under one id counts once;
     copies of a document each come out under their own id; extra columns are ignored; empty inputs give an empty frame.
     """
     spark = documents.sparkSession
     kept = items.where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).distinct()
-    shards = max(1, -(-kept.count() // rule.shard))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [words_of(p) for p in b["passage"]]
+            yield pd.DataFrame({"item_id": b["item_id"], "passage": b["passage"], "length": [len(w) for w in words], "words": [sorted(set(w)) for w in words]})
+
+    kept = stage(kept.mapInPandas(read, "item_id long, passage string, length int, words array<string>").where("length > 0"), "passages")
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    shards = max(1, -(-size.n // rule.shard))
+    kept = kept.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    counts = stage(kept.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "passage-words")
     docs = spread(documents.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     parts = []
     for s in range(shards):
-        rows = kept.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).orderBy("item_id").collect()
-        held = spark.sparkContext.broadcast([(r.item_id, r.passage) for r in rows if words_of(r.passage)])
+        own = kept.where(F.col("shard") == s)
+        rows = own.select("item_id", "passage").orderBy("item_id").collect()  # about rule.shard
+        known = counts.join(own.select(F.explode("words").alias("w")).distinct(), "w").collect()  # the words of a shard
+        held = spark.sparkContext.broadcast(([(r.item_id, r.passage) for r in rows], (size.n, size.mean or 0.0, {r.w: r.n for r in known})))
 
-        def find(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = PassageIndex(held.value, rule)
+        def find(batches: Iterator[pd.DataFrame], held=held, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            index = _index(key, held, rule)
             for b in batches:
                 out = [(d, *hit) for d, t in zip(b["doc_id"], b["text"]) for hit in index.leaks(t)]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "words", "score"])
