@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tonearm.llm.quantise import Quantiser
-from tonearm.llm.spectral import Spectral, beyond, described, grouped, together
+from tonearm.llm.spectral import Graph, Spectral, beyond, described, grouped, together
 
 RULE = Spectral(k=8, near=0.0005, vectors=12, steps=9, search=Quantiser(sample=400, books=3, words=8, beam=8, cell=200, depth=2, probes=8, rerank=60, rounds=4))
 
@@ -44,3 +46,34 @@ def test_near_copies_that_fill_their_cells(spark):
     got = {x.id: x.group for x in grouped(df, "id", "v", rule).collect()}
     assert got[240] is not None and all(got[i] == got[240] for i in range(240, 1140))
     assert not any(got[i] == got[240] for i in range(240) if i % 3)
+
+
+@pytest.mark.parametrize(("n", "size"), [(30, 60), (100, 40)])
+def test_more_groups_than_vectors_at_first(spark, n, size):
+    r = np.random.default_rng(n)
+    centres = r.normal(size=(n, 64)) / 8
+    truth = np.repeat(np.arange(n), size)
+    x = centres[truth] + 0.05 * r.normal(size=(n * size, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    got = {q.id: q.group for q in grouped(df, "id", "v", Spectral(part=500, hub=60)).collect()}
+    found = [{got[i] for i in np.flatnonzero(truth == g)} - {None} for g in range(n)]
+    assert all(len(f) == 1 for f in found) and len(set.union(*found)) == n
+    assert sum(v is None for v in got.values()) < 0.05 * len(got)
+
+
+def test_product_of_the_graph_with_hubs(spark):
+    """A product by parts, one record with edges in all of them, against numpy."""
+    n, r = 200, np.random.default_rng(3)
+    w = np.triu((r.random((n, n)) < 0.03) * r.random((n, n)), 1)
+    w[0, 1:] = r.random(n - 1)
+    w += w.T
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "src long, dst long, w double")
+    places = spark.createDataFrame([(i, i % 7) for i in range(n)], "id long, part int")
+    graph = Graph(edges, places, 7, Spectral(hub=100))
+    assert graph.hubs
+    x = r.normal(size=(n, 5)).astype(np.float32)
+    start = graph.rows.withColumn("x", F.lit(b""))
+    out = graph.product(graph.product(start, lambda ids, m: x[ids]), lambda ids, m: m, keep=True).collect()
+    assert sorted(o.id for o in out) == list(range(n))
+    got = np.stack([np.frombuffer(o.x, dtype=np.float32) for o in sorted(out, key=lambda o: o.id)])
+    assert np.allclose(got, np.hstack([w @ (w @ x), w @ x]), rtol=1e-3, atol=1e-3)

@@ -132,8 +132,8 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
 TRACK_FIELDS = (("embedding", 0.06), ("taste_vec", 0.02))
 
 
-def _groups(spark: SparkSession, d: str, column: str) -> DataFrame:
-    return staging.stage(spectral.grouped(table(spark, d, "tracks"), "id", column), "groups")
+def _groups(spark: SparkSession, d: str, column: str, near: float) -> DataFrame:
+    return staging.stage(spectral.grouped(table(spark, d, "tracks"), "id", column, spectral.Spectral(near=near)), "groups")
 
 
 @query
@@ -141,9 +141,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Probes whose two tracks fall into the same group."""
     parts = []
     probes = table(spark, d, "cluster_probes").select("vec_field", "track_a", "track_b").distinct()
-    for column, _ in TRACK_FIELDS:
+    for column, near in TRACK_FIELDS:
         own = probes.where(F.col("vec_field") == f"tracks.{column}")
-        parts.append(spectral.together(own, _groups(spark, d, column), "track_a", "track_b"))
+        parts.append(spectral.together(own, _groups(spark, d, column, near), "track_a", "track_b"))
     return parts[0].unionByName(parts[1])
 
 
@@ -151,8 +151,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each group of tracks with its size and five most typical tracks."""
     parts = []
-    for column, _ in TRACK_FIELDS:
-        parts.append(spectral.described(_groups(spark, d, column)).withColumn("vec_field", F.lit(f"tracks.{column}")))
+    for column, near in TRACK_FIELDS:
+        parts.append(spectral.described(_groups(spark, d, column, near)).withColumn("vec_field", F.lit(f"tracks.{column}")))
     return parts[0].unionByName(parts[1]).select("vec_field", "group", "size", "typical")
 
 
