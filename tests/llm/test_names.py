@@ -1,6 +1,8 @@
+import math
+
 import pytest
 
-from tonearm.llm.names import edits, entity_pairs, linked, parse
+from tonearm.llm.names import abbreviates, edits, entity_pairs, letter_model, linked, parse
 
 
 @pytest.mark.parametrize(
@@ -40,3 +42,41 @@ def test_entities_and_edges(spark):
     assert got == {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
     assert all(0 < r.posterior <= 1 for r in out.collect())
     assert linked(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("short", "full"), [("gabe", "gabriel"), ("gab", "gabriel"), ("gabby", "gabriel"), ("abby", "abigail"), ("philh", "philharmonic"), ("phlh", "philharmonic"), ("chrs", "charles")])
+def test_abbreviations(short, full):
+    assert abbreviates(short, full) is not None
+
+
+def test_no_abbreviations():
+    assert all(abbreviates(*x) is None for x in (("gabriel", "gabe"), ("mabe", "gabriel"), ("g", "gabriel"), ("gabi", "george"), ("jon", "john")))
+
+
+def test_abbreviations_linked_without_a_list(spark):
+    pairs = [("Gabriel Halofax", "Gabe Halofax"), ("Gabriel Nemibsen", "Gab. Nemibsen"), ("Abigail Falimdal", "Abby Falimdal"), ("Kalev Philharmonic", "Kalev Philh.")]
+    others = [f"{a} {b}{c}" for a in ("Towyn", "Tadan", "Raul", "Semara", "Ingo") for b in ("Walen", "Skao", "Veal", "Boro") for c in ("quist", "bysk", "dorn")]
+    rows = [(2 * k + j, x, 20 if j == 0 else 2) for k, p in enumerate(pairs) for j, x in enumerate(p)] + [(100 + k, x, 5) for k, x in enumerate(others)]
+    out = linked(spark.createDataFrame(rows, "credit_id long, credit string, n_rows int"))
+    assert sorted((r.credit_a, r.credit_b) for r in entity_pairs(out).collect()) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert all(0 < r.posterior <= 1 for r in out.collect())
+
+
+def test_letter_model_against_counts(spark):
+    """Every quadruple counts, against the same sums in plain Python."""
+    from collections import Counter
+
+    words = ["anna", "annabel", "hanna", "ab", "日本語の歌", "annann"]
+    quads = {w: [("^^^" + w + "$")[i : i + 4] for i in range(len(w) + 1)] for w in words}
+    four = Counter(g for q in quads.values() for g in q)
+    part = lambda a, b: Counter({k: n for k in {g[a:b] for g in four} for n in [sum(n for g, n in four.items() if g[a:b] == k)]})
+    s4, c3, s3, c2, s2 = part(0, 3), part(1, 4), part(1, 3), part(2, 4), part(2, 3)
+    want = {}
+    for w, q in quads.items():
+        want[w] = 0.0
+        for g in q:
+            p2 = (c2[g[2:]] - 1 + 0.3) / (s2[g[2:3]] - 1 + 9)
+            p3 = (c3[g[1:]] - 1 + 3 * p2) / (s3[g[1:3]] - 1 + 3)
+            want[w] += math.log((four[g] - 1 + 3 * p3) / (s4[g[:3]] - 1 + 3))
+    got = {r.w: r.own for r in letter_model(spark.createDataFrame([(w,) for w in words], "w string")).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[w], want[w], rel_tol=1e-9) for w in want)

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from tonearm.llm.recordings import credits_of, isrc_of, matched, one_word_off, work_of
+from tonearm.llm.recordings import _near, credits_of, isrc_of, matched, one_word_off, work_of
 
 
 @pytest.mark.parametrize(
@@ -42,3 +44,29 @@ def test_cascade_and_edges(spark):
     assert not {p for p in pairs if p[0] in (15, 16) or p[1] in (4, 8)}
     assert all(0 < x.confidence < 1 for x in got)
     assert matched(r.limit(0), t).count() == 0 and matched(r, t.limit(0)).count() == 0
+
+
+def test_keys_of_long_and_single_words():
+    long = " ".join(f"word{k}" for k in range(60))
+    assert set(_near(long)) & set(_near(long.replace("word55", "wrod55"))) and not set(_near(long)) & set(_near(long + " more"))
+    assert set(_near("glass letter")) & set(_near("glassletter"))
+    r = random.Random(2)
+    for n in (3, 5, 15, 16, 17, 18, 19, 40, 300):
+        for _ in range(30):
+            w = "".join(r.choices("abcdefgh", k=n))
+            v = w
+            for _ in range(1 if n < 4 else 2):
+                k = r.randrange(len(v) - 1)
+                v = r.choice([v[:k] + v[k + 1 :], v[:k] + "x" + v[k:], v[:k] + "x" + v[k + 1 :], v[:k] + v[k + 1] + v[k] + v[k + 2 :]])
+            if len(v) >= 3:
+                assert set(_near(w)) & set(_near(v)), (w, v)
+    assert len(_near("a" * 100_000)) < 200
+
+
+def test_long_titles_and_missing_blanks(spark):
+    long = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    tracks = [(1, "/1", "Ann Other", long, 200.0, None), (2, "/2", "Ann Other", "Glass Letter", 200.0, None), (3, "/3", "Ann Other", "x" * 25 + "silhouette" + "y" * 25, 200.0, None)]
+    reviews = [(10, "Ann Other", long.replace("wordbx", "wrodbx"), 200.0, None, None), (11, "Ann Other", "Glassletter", 201.0, None, None), (12, "Ann Other", "x" * 25 + "silhuoette" + "y" * 25, 200.0, None, None)]
+    t = spark.createDataFrame(tracks, "id long, path string, artist string, title string, duration_s double, isrc string")
+    r = spark.createDataFrame(reviews, "id long, artist string, title string, duration_s double, isrc string, matched_path string")
+    assert {(x.pending_id, x.track_id) for x in matched(r, t).collect()} == {(10, 1), (11, 2), (12, 3)}

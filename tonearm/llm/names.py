@@ -4,25 +4,26 @@ A spelling is taken apart into a person's given and family name, a group's core
 two partners; forms that differ in case, accents, order, articles, joiners, middle initials or
 known abbreviations alone fall into one class. Frequent classes are the candidate canonical forms. A
 rarer class is a variant of the candidate ``c`` with the greatest posterior: the frequency prior of ``c`` times the likelihood of
-its typos, nickname or initial, against the chance that the spelling is a name of its own, which a letter model
-of all names gives (leaving the spelling itself out). Candidates come from equal deletion keys, nicknames and initials, so
-no two spellings are compared that share no key.
+its typos, abbreviation, nickname or initial, against the chance that the spelling is a name of its own, which a letter model
+of all names gives (leaving the spelling itself out). Posteriors are normalised over all candidates and the name of its own. Candidates come from equal
+deletion keys, stems of abbreviations, nicknames and initials, so no two spellings are compared that share no key.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.llm.lookalike import canonical
-from tonearm.plans.staging import stage
+from tonearm.plans.staging import spread, stage
 
 # Given names and their short forms.
 NICKNAMES = {
@@ -132,6 +133,23 @@ def deletions(word: str, most: int) -> set[str]:
     return out
 
 
+def near_keys(word: str, most: int) -> set[str]:
+    """Keys that two words share if at most ``most`` edits part them.
+
+    Deletions for words of up to 18 letters; for longer ones pieces, more than the edits can touch (a swap may touch two), at the places they can have moved to
+    in a word of each possible length. Both kinds in between, so words on either side of the border meet.
+    """
+    n, out = len(word), set()
+    if n <= 16 + most:
+        out |= deletions(word, most)
+    if n >= 16:
+        for m in range(n - most, n + most + 1):
+            cuts = [m * i // (2 * most + 1) for i in range(2 * most + 2)]
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                out |= {f"{m}:{i}:{word[a + d : b + d]}" for d in range(-most, most + 1) if 0 <= a + d and b + d <= n}
+    return out
+
+
 def folded(first: str, last: str) -> str:
     """The name with letters that transliterations exchange made one."""
     both = f"{first}|{last}".replace("kh", "k").replace("ch", "k").replace("ph", "f").replace("th", "t")
@@ -141,52 +159,103 @@ def folded(first: str, last: str) -> str:
 def typo_keys(n: Name) -> list[str]:
     """Keys that two names share if at most two edits in all part them."""
     if n.form == "o" or len(n.first) < 2 and n.form == "p":
-        return ["o|" + d for d in deletions(n.last, 1)] if n.form == "o" and len(n.last) >= 5 else []
+        return ["o|" + d for d in near_keys(n.last, 1)] if n.form == "o" and len(n.last) >= 5 else []
     f = n.form
-    out = {f"{f}a|{n.first}|{d}" for d in deletions(n.last, 2)} | {f"{f}t|" + folded(n.first, n.last)}
-    if f != "g":
-        out |= {f"{f}b|{d}|{n.last}" for d in deletions(n.first, 2)}
-        out |= {f"{f}c|{d}|{e}" for d in deletions(n.first, 1) for e in deletions(n.last, 1)}
+    # a typo changes words of four letters and more only, so shorter ones need no key beyond the name's own
+    out = {f"{f}t|" + folded(n.first, n.last)}
+    if len(n.last) >= 4:
+        out |= {f"{f}a|{n.first}|{d}" for d in near_keys(n.last, 2)}
+    if f != "g" and len(n.first) >= 4:
+        out |= {f"{f}b|{d}|{n.last}" for d in near_keys(n.first, 2)}
+        if len(n.last) >= 4:
+            out |= {f"{f}c|{d}|{e}" for d in near_keys(n.first, 1) for e in near_keys(n.last, 1)}
+    return sorted(out)
+
+
+def _consonants(word: str) -> str:
+    return word[:1] + regex.sub("[aeiouy]", "", word[1:])
+
+
+def _stem(word: str) -> str:
+    """``word`` without a pet form's ending and its doubled consonant: gabe, gabby: gab."""
+    bare = regex.sub("(?:ie|ey|y|e|i|o)$", "", word)
+    return bare[:-1] if len(bare) > 2 and bare[-1] == bare[-2] else bare
+
+
+def short_keys(n: Name) -> list[str]:
+    """Keys of a name whose given or family part may be an abbreviation: what it stands for begins like this."""
+    out = set()
+    for k, w, rest in ((0, n.first, n.last), (1, n.last, n.first)):
+        for x in {w, _stem(w), w[:-1]} if n.form == "p" and rest else ():
+            if len(x) >= 2:
+                out.add(f"{k}|{rest}|{len(x)}|{zlib.crc32(x.encode())}")
     return sorted(out)
 
 
+def full_keys(n: Name) -> list[str]:
+    """Keys of a name for all that its given or family part can be abbreviated to: beginnings of the word and of its consonants."""
+    out = set()
+    for k, w, rest in ((0, n.first, n.last), (1, n.last, n.first)):
+        for x in {w, _consonants(w)} if n.form == "p" and rest else ():
+            crc = 0
+            for i, ch in enumerate(x, 1):
+                crc = zlib.crc32(ch.encode(), crc)
+                if i >= 2:
+                    out.add(f"{k}|{rest}|{i}|{crc}")
+    return sorted(out)
+
+
+def abbreviates(short: str, full: str) -> float | None:
+    """How many letters of doubt there are that ``short`` stands for ``full``: None if it cannot.
+
+    The beginning of the word, a pet form of its beginning, or its consonants or the beginning of these.
+    """
+    if not 2 <= len(short) < len(full) or short[0] != full[0]:
+        return None
+    if full.startswith(short):
+        return 0.0
+    stem = _stem(short)
+    if len(stem) >= 2 and full.startswith(stem):
+        return 0.5
+    bare = _consonants(short)
+    if bare == short and len(bare) >= 3 and _consonants(full).startswith(bare):
+        return 0.5
+    return 1.0 if len(short) >= 3 and short == _consonants(full)[: len(short) - 1] + full[-1] else None
+
+
 @dataclass(frozen=True)
 class Channel:
-    """Costs in nats: of a typo, a nickname, an initial, another transliteration; ``own``: log-odds a spelling is a name of its own beyond what the letter model says."""
+    """Costs in nats: of a typo, an abbreviation (``doubt`` more for each half letter's doubt), a nickname, an initial, another transliteration; ``own``: log-odds a spelling is a name of its own beyond what the letter model says."""
 
     typo: float = 5.0
+    abbreviation: float = 3.0
+    doubt: float = 1.0
     nickname: float = 1.5
     initial: float = 1.5
     transliteration: float = 1.5
     own: float = 1.0
 
 
-def letters(word: str) -> list[str]:
-    w = "^^^" + word + "$"
-    return [w[i : i + 4] for i in range(len(w) - 3)]
+def letter_model(words: DataFrame) -> DataFrame:
+    """(w, own): the log-probability of each distinct word from counts of letter quadruples over all words, backing off to triples and pairs, the word itself left out.
 
+    Counts are joined by quadruple, so the table of counts stays on the executors, whole, however many names there are.
+    """
+    p = words.withColumn("p", F.concat(F.lit("^^^"), "w", F.lit("$")))
+    quads = stage(p.select("w", F.explode(F.expr("transform(sequence(1, length(p) - 3), i -> substring(p, i, 4))")).alias("g")), "quadruples")
+    four = quads.groupBy("g").agg(F.count(F.lit(1)).alias("n4"))
 
-class LetterModel:
-    """Log-probability of a word from counts of letter quadruples over distinct names, backing off to triples and pairs."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.four = counts
-        self.sums: dict[str, int] = {}
-        for g, n in counts.items():
-            for k in (g[:3], g[1:], "." + g[2:], g[1:3] + "_", g[2:3] + "_."):
-                self.sums[k + ("|" if k == g[:3] else "")] = self.sums.get(k + ("|" if k == g[:3] else ""), 0) + n
+    def sums(at: int, size: int, name: str) -> DataFrame:
+        return four.groupBy(F.substring("g", at, size).alias(name + "_g")).agg(F.sum("n4").alias(name))
 
-    def score(self, word: str, seen: int) -> float:
-        """``seen``: how often the word itself was counted, which is left out."""
-        total = 0.0
-        for g in letters(word):
-            c4, s4 = self.four.get(g, 0) - seen, self.sums.get(g[:3] + "|", 0) - seen
-            c3, s3 = self.sums.get(g[1:], 0) - seen, self.sums.get(g[1:3] + "_", 0) - seen
-            c2, s2 = self.sums.get("." + g[2:], 0) - seen, self.sums.get(g[2:3] + "_.", 0) - seen
-            p2 = (max(c2, 0) + 0.3) / (max(s2, 0) + 9)
-            p3 = (max(c3, 0) + 3 * p2) / (max(s3, 0) + 3)
-            total += math.log((max(c4, 0) + 3 * p3) / (max(s4, 0) + 3))
-        return total
+    seen = four
+    for at, size, name in ((1, 3, "s4"), (2, 3, "c3"), (2, 2, "s3"), (3, 2, "c2"), (3, 1, "s2")):
+        seen = seen.withColumn(name + "_g", F.substring("g", at, size)).join(sums(at, size, name), name + "_g").drop(name + "_g")
+    others = lambda c: F.col(c) - 1
+    p2 = (others("c2") + 0.3) / (others("s2") + 9)
+    p3 = (others("c3") + 3 * p2) / (others("s3") + 3)
+    chance = seen.select("g", F.log((others("n4") + 3 * p3) / (others("s4") + 3)).alias("x"))
+    return quads.join(chance, "g").groupBy("w").agg(F.sum("x").alias("own"))
 
 
 def linked(credits: DataFrame, id_col: str = "credit_id", text: str = "credit", weight: str = "n_rows", channel: Channel = Channel()) -> DataFrame:
@@ -209,21 +278,25 @@ def linked(credits: DataFrame, id_col: str = "credit_id", text: str = "credit",
         "classes",
     )
     words = classes.where("form <> 'o'").select(F.explode(F.array("first", "last")).alias("w")).where("length(w) > 1").groupBy("w").agg(F.count(F.lit(1)).alias("support"))
-    quads = words.withColumn("p", F.concat(F.lit("^^^"), "w", F.lit("$"))).select(F.explode(F.expr("transform(sequence(1, length(p) - 3), i -> substring(p, i, 4))")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    # letters are those of names, so there are far fewer quadruples than names; the rarest are left out beyond the bound
-    table = {r.g: r.n for r in quads.orderBy(F.col("n").desc(), "g").limit(400_000).collect()}
-    sent = spark.sparkContext.broadcast(table)
+    words = stage(words, "words")
+    words = stage(words.join(letter_model(words.select("w")), "w"), "scored-words")
+    def keyed(of: Callable[[Name], list[str]]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = [(r.cid, k) for r in b.itertuples() for k in of(Name(r.form, r.first, r.last))]
+                yield pd.DataFrame(out, columns=["cid", "k"])
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(r.cid, k) for r in b.itertuples() for k in typo_keys(Name(r.form, r.first, r.last))]
-            yield pd.DataFrame(out, columns=["cid", "k"])
+        return stage(spread(classes.select("cid", "form", "first", "last")).mapInPandas(run, "cid long, k string").withColumn("k", F.xxhash64("k")), "keys")
 
-    keys = classes.select("cid", "form", "first", "last").mapInPandas(keyed, "cid long, k string").withColumn("k", F.xxhash64("k"))
-    keys = stage(keys, "keys")
+    keys = keyed(typo_keys)
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
     keys = stage(keys.join(shared, "k", "left_semi"), "shared-keys")
-    pairs = keys.join(keys.withColumnRenamed("cid", "other"), "k").where("cid <> other").select("cid", "other").distinct()
+    # of two classes the lower in rank is the variant; only that way round they are compared. A key that many names share is split by the joins' skew handling
+    ranked = classes.select("cid", F.struct(_fullness().alias("full"), "n", (-F.col("cid")).alias("age")).alias("rank"))
+    keys = keys.join(ranked, "cid")
+    pairs = keys.join(keys.select("k", F.col("cid").alias("other"), F.col("rank").alias("above")), "k").where("above > rank").select("cid", "other").distinct()
+    shortened = keyed(short_keys).join(keyed(full_keys).withColumnRenamed("cid", "other"), "k").where("cid <> other")
+    pairs = pairs.unionByName(shortened.select("cid", "other")).unionByName(shortened.select(F.col("other").alias("cid"), F.col("cid").alias("other")))
     person = classes.where("form = 'p'")
     short = person.select("cid", "first", "last").join(spark.createDataFrame([(s, f) for s, fs in FULL.items() for f in fs], "first string, full string"), "first").select("cid", F.col("full").alias("first"), "last")
     by_nickname = short.join(person.select(F.col("cid").alias("other"), "first", "last"), ["first", "last"]).select("cid", "other")
@@ -231,26 +304,30 @@ def linked(credits: DataFrame, id_col: str = "credit_id", text: str = "credit",
     fuller = person.where("length(first) > 1").select(F.col("cid").alias("other"), F.substring("first", 1, 1).alias("i"), "last", "n").withColumn("r", F.row_number().over(best)).where("r = 1").select("other", "i", "last")
     by_initial = person.where("length(first) = 1").select("cid", F.col("first").alias("i"), "last").join(fuller, ["i", "last"]).select("cid", "other")
     candidates = pairs.unionByName(by_nickname).unionByName(by_initial).distinct()
-    side = classes.join(words.withColumnRenamed("w", "first").withColumnRenamed("support", "s1"), "first", "left").join(words.withColumnRenamed("w", "last").withColumnRenamed("support", "s2"), "last", "left")
-    side = stage(side.na.fill(0, ["s1", "s2"]), "side")
-    left = side.select("cid", *(F.col(c).alias("v_" + c) for c in ("n", "form", "first", "last", "s1", "s2")))
-    right = side.select(F.col("cid").alias("other"), *(F.col(c).alias("c_" + c) for c in ("n", "form", "first", "last", "s1", "s2")))
+    side = classes
+    for c, k in (("first", "1"), ("last", "2")):
+        side = side.join(words.select(F.col("w").alias(c), F.col("support").alias("s" + k), F.col("own").alias("o" + k)), c, "left")
+    side = stage(side.na.fill(0, ["s1", "s2", "o1", "o2"]), "side")
+    both_sides = ("n", "form", "first", "last", "s1", "s2", "o1", "o2")
+    left = side.select("cid", *(F.col(c).alias("v_" + c) for c in both_sides))
+    right = side.select(F.col("cid").alias("other"), *(F.col(c).alias("c_" + c) for c in both_sides))
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = LetterModel(sent.value)
         for b in batches:
             out = []
             for r in b.itertuples():
-                gain = posterior(r, model, channel)
-                if gain is not None and gain > 0:
-                    out.append((r.cid, r.other, gain))
+                gain = posterior(r, channel)
+                if gain is not None and gain > -20:
+                    out.append((r.cid, r.other, min(gain, 200.0)))
             yield pd.DataFrame(out, columns=["cid", "other", "gain"])
 
     weighed = candidates.join(left, "cid").join(right, "other").mapInPandas(weigh, "cid long, other long, gain double")
-    w = Window.partitionBy("cid").orderBy(F.col("gain").desc(), "other")
-    chosen = stage(weighed.withColumn("r", F.row_number().over(w)).where("r = 1").select("cid", "other", "gain"), "chosen")
+    # the best candidate, and its share of the posterior beside all others and a name of its own, whose log-odds are 0
+    top = stage(weighed, "weighed").groupBy("cid").agg(F.max(F.struct("gain", (-F.col("other")).alias("o"))).alias("top"), F.sum(F.exp("gain")).alias("all"))
+    share = (F.when(F.col("top.gain") > 0, F.exp("top.gain")).otherwise(1.0) / (1 + F.col("all"))).alias("posterior")
+    chosen = stage(top.select("cid", F.when(F.col("top.gain") > 0, -F.col("top.o")).otherwise(F.col("cid")).alias("other"), share), "chosen")
     # each class points to one that ranks above it, so following the pointers ends
-    roots = classes.select("cid").join(chosen, "cid", "left").select("cid", F.coalesce("other", "cid").alias("root"), F.coalesce(1 - F.exp(-F.col("gain")), F.lit(1.0)).alias("posterior"))
+    roots = classes.select("cid").join(chosen, "cid", "left").select("cid", F.coalesce("other", "cid").alias("root"), F.coalesce("posterior", F.lit(1.0)).alias("posterior"))
     roots = stage(roots, "roots")
     for _ in range(20):
         hop = roots.select(F.col("cid").alias("root"), F.col("root").alias("next"))
@@ -263,14 +340,19 @@ def linked(credits: DataFrame, id_col: str = "credit_id", text: str = "credit",
     return ends.join(entity, "root").select("id", "entity", "posterior")
 
 
-def rank_of(n: float, form: str, first: str, cid: int) -> tuple:
+def _fullness() -> Column:
     """Canonical forms rank by fullness, then frequency, then age."""
+    person = F.col("form") == "p"
+    return F.when(person & (F.length("first") == 1), 0).when(person & F.col("first").isin(*FULL), 1).otherwise(2)
+
+
+def rank_of(n: float, form: str, first: str, cid: int) -> tuple:
     full = 0 if form == "p" and len(first) == 1 else 1 if form == "p" and first in FULL else 2
     return full, n, -cid
 
 
-def posterior(r, model: LetterModel, ch: Channel) -> float | None:
-    """Log-odds that the spelling of ``r.cid`` is a variant of ``r.other``; None if that one ranks lower."""
+def posterior(r, ch: Channel) -> float | None:
+    """Log-odds that the spelling of ``r.cid`` is a variant of ``r.other``; None if that one ranks lower or cannot be it."""
     if r.v_form != r.c_form or rank_of(r.c_n, r.c_form, r.c_first, r.other) <= rank_of(r.v_n, r.v_form, r.v_first, r.cid):
         return None
     prior = math.log(r.c_n + 1)
@@ -282,27 +364,39 @@ def posterior(r, model: LetterModel, ch: Channel) -> float | None:
             return prior + 4 - ch.nickname
     if folded(*v) == folded(*c):
         return prior + 4 - ch.transliteration
-    # the more frequent spelling may be the mistyped one, so either may stand for the name meant
-    gains = [g for g in (_typo(v, c, (r.v_s1, r.v_s2), r.c_n, model, ch), _typo(c, v, (r.c_s1, r.c_s2), r.v_n, model, ch)) if g is not None]
-    return max(gains, default=None)
+    # the more frequent spelling may be the mistyped or shortened one, so either may stand for the name meant
+    sides = ((v, c, (r.v_s1, r.v_s2), (r.v_o1, r.v_o2), r.c_n), (c, v, (r.c_s1, r.c_s2), (r.c_o1, r.c_o2), r.v_n))
+    gains = [f(*x, ch) for x in sides for f in (_typo, _abbreviation if r.v_form == "p" else _typo)]
+    return max((g for g in gains if g is not None), default=None)
+
 
+def _own(seen: int, letters: float) -> float:
+    """Chance of a word as a name of its own: how many other names have it, or what its letters make likely."""
+    return max(math.log(seen - 1) - 3.0 if seen > 1 else -99.0, letters)
 
-def _typo(v: tuple[str, str], c: tuple[str, str], seen: tuple[int, int], n: float, model: LetterModel, ch: Channel) -> float | None:
+
+def _typo(v: tuple[str, str], c: tuple[str, str], seen: tuple[int, int], letters: tuple[float, float], n: float, ch: Channel) -> float | None:
     """Log-odds that ``v`` is ``c`` mistyped, against ``v`` as a name of its own."""
     gain, changed = math.log(n + 1) - ch.own, 0
-    for a, b, s in zip(v, c, seen):
+    for a, b, s, own in zip(v, c, seen, letters):
         if a == b:
             continue
         e = edits(a, b)
         changed += e
         if e > 2 or changed > 2 or min(len(a), len(b)) < 4:
             return None
-        # chance of the word as a name of its own: how many other names have it, or what its letters make likely
-        own = max(math.log(s - 1) - 3.0 if s > 1 else -99.0, model.score(a, 1))
-        gain += -ch.typo * e - own - 4.0
+        gain += -ch.typo * e - _own(s, own) - 4.0
     return gain if changed else None
 
 
+def _abbreviation(v: tuple[str, str], c: tuple[str, str], seen: tuple[int, int], letters: tuple[float, float], n: float, ch: Channel) -> float | None:
+    """Log-odds that ``v`` is ``c`` with one part abbreviated, against ``v`` as a name of its own."""
+    off = [k for k in (0, 1) if v[k] != c[k]]
+    if len(off) != 1 or (doubt := abbreviates(v[off[0]], c[off[0]])) is None:
+        return None
+    return math.log(n + 1) - ch.own - ch.abbreviation - 2 * doubt * ch.doubt - _own(seen[off[0]], letters[off[0]]) - 4.0
+
+
 def entity_pairs(links: DataFrame) -> DataFrame:
     """(credit_a, credit_b), a < b: every pair of spellings within an entity, as the query asks for."""
     a, b = links.select("entity", F.col("id").alias("credit_a")), links.select("entity", F.col("id").alias("credit_b"))

@@ -11,6 +11,7 @@ Artists are compared by entity (spellings linked as in ``names``), texts in the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from tonearm.llm import names
 from tonearm.llm.lookalike import canonical
-from tonearm.plans.staging import stage
+from tonearm.plans.staging import spread, stage
 
 # Qualifiers that do not make another version.
 SAME = regex.compile(r"(?:\d{4} )?(?:digital )?remaster(?:ed)?(?: version)?(?: \d{4})?|album version|single version|lp version|original(?: mix| version)?|official (?:audio|video|music video|visualizer)|audio|lyric(?:s)? video|explicit|clean|hq|hd|mono|stereo|full version|main mix|free download")
@@ -78,14 +79,29 @@ def isrc_of(text: str | None) -> str | None:
 
 
 PARSED = "id long, path string, credits array<string>, work string, kind string, detail string, seconds double, isrc string, near array<string>"
+PARSED_COLUMNS = [c.split(" ")[0] for c in PARSED.split(", ")[1:]]
+
+
+_MODULUS, _BASE = (1 << 61) - 1, 1_000_003
 
 
 def _near(work: str) -> list[str]:
-    """Keys that two works share if one word of theirs differs; for a single word its deletions."""
+    """Keys that two works share if one word of theirs differs, whichever it is; for a single word those of two edits; and the work without its blanks.
+
+    A key for each word left out is a hash of all the others, made from one sum, so a long work costs no more than its words.
+    """
     words = work.split()
+    if not words:
+        return []
+    out = {"=" + "".join(words)}
     if len(words) == 1:
-        return sorted(names.deletions(words[0], 2)) if 4 <= len(words[0]) <= 40 else []
-    return [" ".join([*words[:i], "*", *words[i + 1 :]]) for i in range(min(len(words), 40))]
+        return sorted(out | (names.near_keys(words[0], 2 if len(words[0]) >= 4 else 1) if len(words[0]) >= 3 else set()))
+    n, power, terms = len(words), 1, []
+    for w in words:
+        terms.append(int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) * power % _MODULUS)
+        power = power * _BASE % _MODULUS
+    total = sum(terms)
+    return sorted(out | {f"{n}:{i}:{(total - t) % _MODULUS}" for i, t in enumerate(terms)})
 
 
 def one_word_off(a: str, b: str) -> bool:
@@ -118,7 +134,7 @@ def read(df: DataFrame, path: str) -> DataFrame:
                 "seconds": s.where(~(s > 3600), s / 1000), "isrc": [isrc_of(x) for x in b["isrc"]], "near": [_near(w) for w, _, _ in works],
             })
 
-    return rows.mapInPandas(parse, PARSED)
+    return spread(rows).mapInPandas(parse, PARSED)
 
 
 def _length(tolerance: float) -> tuple[Column, Column]:
@@ -131,13 +147,13 @@ def matched(reviews: DataFrame, tracks: DataFrame, tolerance: float = 5.0) -> Da
 
     ``reviews``: (id, artist, title, duration_s, isrc, matched_path); ``tracks``: (id, path, artist, title, duration_s, isrc); further columns are ignored.
 
-    Defined cases: a file without title or artist is matched by ISRC only, and an ISRC found on files of different works or artists, or
-    a placeholder, settles nothing; a version named on both sides must be the same, named on one side the lengths must
+    Defined cases: a file without title or artist is matched by ISRC only, and an ISRC found on files that differ in both work and artist, or
+    a placeholder, settles nothing; of different rows under one id the greatest counts; a version named on both sides must be the same, named on one side the lengths must
     agree; without a length on one side the version must be the same, or none named in the review and only one in the library; rows given twice count once; nulls anywhere are allowed; empty tables give
     an empty frame.
     """
-    r = stage(read(reviews, "matched_path"), "reviews").dropDuplicates(["id"])
-    t = stage(read(tracks, "path"), "files").dropDuplicates(["id"])
+    r, t = (stage(read(df, path), name).groupBy("id").agg(F.max(F.struct(*PARSED_COLUMNS)).alias("x")).select("id", "x.*") for df, path, name in ((reviews, "matched_path", "reviews"), (tracks, "path", "files")))
+    r, t = stage(r, "reviews"), stage(t, "files")
     named_in = [x.select(F.explode(F.when(F.col("kind") == "remix", F.array_append("credits", F.col("detail"))).otherwise(F.col("credits"))).alias("credit")) for x in (r, t)]
     spelled = named_in[0].unionByName(named_in[1]).where("credit is not null").groupBy("credit").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("credit_id", F.xxhash64("credit"))
     spelled = stage(spelled, "credits")
@@ -155,7 +171,7 @@ def matched(reviews: DataFrame, tracks: DataFrame, tolerance: float = 5.0) -> Da
     near, unknown = _length(tolerance)
     same_version = (F.col("r_kind") == F.col("t_kind")) & ((F.col("r_detail") == F.col("t_detail")) | ((F.col("r_kind") == "live") & near & ((F.col("r_detail") == "") | (F.col("t_detail") == ""))))
     one_sided = (F.col("r_kind") == "") != (F.col("t_kind") == "")
-    # an ISRC that stands on files of several works or artists settles nothing
+    # an ISRC that stands on files of other works by other artists settles nothing
     contested = t.where("t_isrc is not null").groupBy("t_isrc").agg(F.min("t_work").alias("w1"), F.max("t_work").alias("w2"), F.min("t_artist").alias("a1"), F.max("t_artist").alias("a2")).where("w1 <> w2 and a1 <> a2").select("t_isrc")
     sure = t.where("t_isrc is not null").join(contested, "t_isrc", "left_anti")
     agree = F.coalesce(F.col("r_work") == F.col("t_work"), F.lit(True)) | F.coalesce(F.col("r_artist") == F.col("t_artist"), F.lit(True))
