@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tonearm.llm.lookalike import ConflictError, build_mapping, canonical, irregular_cells, unify  # noqa: F401
+from tonearm.llm.lookalike import ConflictError, build_doubles, build_mapping, canonical, irregular_cells, unify  # noqa: F401
 
 
 @pytest.mark.parametrize(
@@ -19,6 +19,16 @@ from tonearm.llm.lookalike import ConflictError, build_mapping, canonical, irreg
         ("夜の海", "夜の海"),
         ("👩‍🚀 trip", "👩‍🚀 trip"),
         ("Smørrebrød", "Smørrebrød"),
+        ("ɡood", "good"),
+        ("ɑbc", "abc"),
+        ("Ꮪong", "Song"),
+        ("ոame", "name"),
+        ("ꓢong and ꓢolo", "Song and Solo"),
+        ("ɡʊd", "ɡʊd"),
+        ("ᎠᏗᎳ", "ᎠᏗᎳ"),
+        ("նոր երգ", "նոր երգ"),
+        ("\U0002f800", "\u4e3d"),
+        ("𝐁𝐨𝐥𝐝 🄰", "Bold 🄰"),
         ("", ""),
         (None, None),
     ],
@@ -28,11 +38,23 @@ def test_forms(shown, plain):
 
 
 def test_mapping_has_no_conflicts():
-    assert len(build_mapping()) > 2000
+    table = build_mapping()
+    assert len(table) > 2000
+    doubles = build_doubles(table)
+    assert all(canonical(f"wd{v}w") == f"wd{v}w" and canonical(f"wd{k}w") == f"wd{v}w" for t in doubles.values() for k, v in t.items())
+    with pytest.raises(ConflictError):
+        build_doubles({"А": "A"})
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs",)), max_size=30))
+@given(st.text(alphabet=st.sampled_from("aeopcxABCИжЯωΔнշոաᎠᏗꓢꓘɡʊd' \u0301\u200b"), max_size=12))
+def test_idempotent_on_mixed_scripts(text):
+    once = canonical(text)
+    assert canonical(once) == once
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=30))
 def test_idempotent(text):
     once = canonical(text)
     assert canonical(once) == once

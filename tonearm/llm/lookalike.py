@@ -3,13 +3,13 @@
 A transducer walks each text once from left to right, grapheme cluster by
 grapheme cluster, taking at each place the longest source in its mapping. The
 mapping is built from the Unicode data of Python (widths, ligatures, styled
-letters, composed accents, spaces, invisible characters) and a fixed list of
-letters that look alike across scripts. It is checked when built: a source
+letters, composed accents, spaces, invisible characters, in all planes) and a fixed list of
+letters that look alike across scripts. It is compiled by first character into the lengths to try, and checked when built: a source
 must have one target, and every target must be left as it is.
 
-Look-alike letters are only replaced within a word that mixes scripts. Such a
-word is brought to the script of its letters without a double in another
-script; real words wholly in another script stay.
+Look-alike letters are only replaced within a word that mixes scripts, so a word is held back until it ends. It
+is brought to the script of its letters without a double in another
+script of the word; real words wholly in another script stay.
 """
 
 from __future__ import annotations
@@ -24,11 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of Cyrillic and Greek that show like Latin letters.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҺԌԚԜаеорсухѕіјһԁԛԝү", "ABESIJKMHOPCTYXhGQWaeopcyxsijhdqwy"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιραυκ", "ABEZHIKMNOPTYXovipauk"))
+# Letters of other scripts that show like Latin letters, by a sign for the script.
+LOOK_ALIKES = {
+    "C": ("АВЕЅІЈКМНОРСТУХҺԌԚԜаеорсухѕіјһԁԛԝү", "ABESIJKMHOPCTYXhGQWaeopcyxsijhdqwy"),
+    "G": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιραυκ", "ABEZHIKMNOPTYXovipauk"),
+    "A": ("ՍՕԼոօսհցզյ", "UOLnouhgqj"),
+    "H": ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    "S": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
+    "I": ("ɡɑɩ", "gai"),
+}
+# The letters of Cyrillic and Greek that stand for a Latin one in a word of theirs.
 TO_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyxij", "АВЕКМНОРСТУХаеорсухіј"))
 TO_GREEK = dict(zip("ABEZHIKMNOPTYXovipauk", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιραυκ"))
+# The scripts' ranges. I is phonetic writing, whose letters Unicode counts as Latin.
+RANGES = {"L": "A-Za-z\u00c0-\u024f\u1e00-\u1eff", "G": "\u0370-\u03ff\u1f00-\u1fff", "C": "\u0400-\u052f", "A": "\u0530-\u058f", "H": "\u13a0-\u13ff", "S": "\ua4d0-\ua4ff", "I": "\u0250-\u02af"}
 
 # Characters without a width of their own.
 INVISIBLE = [*"\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f", *map(chr, range(0x202A, 0x202F)), *map(chr, range(0x2060, 0x2065)), *map(chr, range(0x2066, 0x206A)), "\ufeff"]
@@ -61,10 +70,12 @@ def build_mapping() -> dict[str, str]:
         if table.setdefault(source, target) != target:
             raise ConflictError(f"{source!r} goes to {table[source]!r} and {target!r}")
 
-    for code in (*range(0x80, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)):
+    for code in (*range(0x80, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
         ch = chr(code)
         if unicodedata.category(ch) in ("Zs", "Zl", "Zp"):
             rule(ch, " ")
+        elif not unicodedata.decomposition(ch):
+            continue
         elif (plain := _shown_as(ch)) is not None:
             rule(ch, plain)
         elif (composed := unicodedata.normalize("NFC", ch)) != ch:
@@ -81,38 +92,66 @@ def build_mapping() -> dict[str, str]:
     return table
 
 
-@functools.cache
-def _compiled() -> tuple[dict[str, str], int, frozenset[str], frozenset[str], re.Pattern]:
-    """The mapping, its longest source, and what a text must hold for the walk to change anything:
-    a character that is a source or a mark; or, where there are Greek or Cyrillic letters at all, one beside a letter of another script."""
-    table = build_mapping()
-    marks = [chr(c) for c in (*range(0x300, 0xAC00), *range(0x1100, 0x1200), *range(0xFE00, 0xFE30)) if unicodedata.category(chr(c))[0] == "M" or 0x1100 <= c < 0x1200]
-    latin, greek, cyrillic = r"A-Za-z\u00c0-\u024f\u1e00-\u1eff", r"\u0370-\u03ff\u1f00-\u1fff", r"\u0400-\u052f"
-    pairs = "|".join(f"[{x}][{y}]" for x in (latin, greek, cyrillic) for y in (latin, greek, cyrillic) if x != y)
-    others = frozenset(map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))))
-    return table, max(map(len, table)), frozenset({c for c in table if len(c) == 1} | set(marks)), others, re.compile(pairs)
+def build_doubles(table: dict[str, str]) -> dict[str, dict[str, str]]:
+    """By script, its letters with the Latin ones they show like, checked for conflicts with each other and with the mapping."""
+    out: dict[str, dict[str, str]] = {}
+    known: dict[str, str] = {}
+    for script, (letters, latin) in LOOK_ALIKES.items():
+        for source, target in zip(letters, latin, strict=True):
+            if known.setdefault(source, target) != target or source in table or target in table or _script(source) != script or _script(target) != "L":
+                raise ConflictError(f"{source!r} goes to {target!r} and {known[source]!r}, or is in the mapping or of another script")
+        out[script] = dict(zip(letters, latin))
+    return out
 
 
 def _script(ch: str) -> str:
     c = ord(ch)
     if c < 0x250 or 0x1E00 <= c < 0x1F00:
         return "L"
+    if c < 0x2B0:
+        return "I"
     if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000:
         return "G"
     if 0x400 <= c < 0x530:
         return "C"
+    if 0x530 <= c < 0x590:
+        return "A"
+    if 0x13A0 <= c < 0x1400:
+        return "H"
+    if 0xA4D0 <= c < 0xA500:
+        return "S"
     return "-"
 
 
-DOUBLES = {"L": TO_CYRILLIC.keys() | TO_GREEK.keys(), "C": CYRILLIC.keys(), "G": GREEK.keys()}
+@functools.cache
+def _compiled() -> tuple[dict[str, str], dict[str, tuple[int, ...]], frozenset[str], frozenset[str], re.Pattern]:
+    """The mapping, by first character the lengths of its sources from the longest, and what a text must hold for the walk to change anything:
+    a character that is a source or a mark; or, where there are letters with doubles at all, one beside a letter of another script."""
+    table = build_mapping()
+    lengths: dict[str, set[int]] = {}
+    for source in table:
+        lengths.setdefault(source[0], set()).add(len(source))
+    marks = [chr(c) for c in (*range(0x300, 0xAC00), *range(0x1100, 0x1200), *range(0xFE00, 0xFE30), *range(0x10000, 0x20000)) if unicodedata.category(chr(c))[0] == "M" or 0x1100 <= c < 0x1200]
+    pairs = "|".join(f"[{x}][{y}]" for x in RANGES.values() for y in RANGES.values() if x != y)
+    others = frozenset(chr(c) for c in (*range(0x250, 0x2B0), *range(0x370, 0x590), *range(0x13A0, 0x1400), *range(0x1F00, 0x2000), *range(0xA4D0, 0xA500)))
+    return table, {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}, frozenset({c for c in table if len(c) == 1} | set(marks)), others, re.compile(pairs)
+
+
+@functools.cache
+def _doubles() -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]]]:
+    """By script, to Latin and from Latin."""
+    to = build_doubles(_compiled()[0])
+    return to, {s: {v: k for k, v in t.items()} for s, t in to.items()} | {"C": TO_CYRILLIC, "G": TO_GREEK}
 
 
 def _sure(word: list[str]) -> dict[str, int]:
-    """By script, the letters of ``word`` that no other script has a double of."""
+    """By script, the letters of ``word`` that no other script has a double of; Latin ones are held against Cyrillic, Greek and the word's own further scripts."""
+    to, back = _doubles()
+    scripts = [_script(unicodedata.normalize("NFD", w)[0]) for w in word]
+    against = [back[s] for s in {"C", "G", *scripts} - {"L", "-"}]
     counts: dict[str, int] = {}
-    for w in word:
-        s = _script(unicodedata.normalize("NFD", w)[0])
-        counts[s] = counts.get(s, 0) + (w not in DOUBLES.get(s, ()))
+    for w, s in zip(word, scripts):
+        counts[s] = counts.get(s, 0) + (not any(w in x for x in against) if s == "L" else w not in to.get(s, ()))
     return counts
 
 
@@ -124,20 +163,21 @@ def _settle(word: list[str], home: str, alone: bool) -> tuple[str, bool]:
     text = "".join(word)
     scripts = [_script(unicodedata.normalize("NFD", w)[0]) for w in word]
     seen = set(scripts) - {"-"}
-    if not seen & {"G", "C"}:
+    if not seen - {"L"}:
         return text, False
     sure = _sure(word)
-    if len(seen) == 1 and (alone or any(sure[s] for s in seen)):
+    if len(seen) == 1 and (alone or not seen & {"G", "C"} or any(sure[s] for s in seen)):
         return text, False
     if any(sure[s] for s in seen):
         home = max(seen, key=lambda s: (sure[s], scripts.count(s), s == "L"))
+    to, back = _doubles()
     out = []
     for w, s in zip(word, scripts):
         if s in (home, "-"):
             out.append(w)
             continue
-        latin = w if s == "L" else (CYRILLIC if s == "C" else GREEK).get(w, w)
-        out.append(latin if home == "L" else (TO_CYRILLIC if home == "C" else TO_GREEK).get(latin, w))
+        latin = w if s == "L" else to[s].get(w, w)
+        out.append(latin if home == "L" else back[home].get(latin, w))
     return "".join(out), len(seen) > 1
 
 
@@ -145,7 +185,7 @@ def canonical(text: str | None) -> str | None:
     """``text`` in its one form; null stays null, pure ASCII is returned as it is."""
     if text is None or text.isascii():
         return text
-    table, longest, sources, others, mixed_pair = _compiled()
+    table, lengths, sources, others, mixed_pair = _compiled()
     if sources.isdisjoint(text) and (others.isdisjoint(text) or not mixed_pair.search(text)):
         return text
     pieces: list[list[str] | str] = []
@@ -174,19 +214,16 @@ def canonical(text: str | None) -> str | None:
             continue
         at, out = 0, ""
         while at < len(cluster):
-            for n in range(min(longest, len(cluster) - at), 0, -1):
-                source = cluster[at : at + n]
-                if source in table or n == 1:
-                    out += "" if source in SELECTORS else table.get(source, source)
-                    at += n
-                    break
+            source = next((x for n in lengths.get(cluster[at], ()) if (x := cluster[at : at + n]) in table), cluster[at])
+            out += "" if source in SELECTORS else table.get(source, source)
+            at += len(source)
         if out and out != cluster:
             out = unicodedata.normalize("NFC", out)  # a mark may follow what was removed before it
         if out:
             put(out)
     if word:
         pieces.append(word)
-    total = {"L": 0, "C": 0, "G": 0}
+    total = dict.fromkeys(RANGES, 0)
     for p in pieces:
         if not isinstance(p, str):
             for s, n in _sure(p).items():
