@@ -4,6 +4,7 @@ Vectors (scaled to unit length) are written as sums of codewords, one from each
 full-dimensional codebooks trained on residuals, found by beam search. The first codes also serve as
 inverted index: a vector is filed under its code prefix, where a prefix with many vectors is
 split by further codes, so no cell grows with the library. A query is sent to the prefixes of its own beam.
+How many it visits follows from the recall measured on some held-out queries, searched exactly.
 In a cell, candidates are scored from a table of query-codeword products and the
 stored norms of the decoded vectors; the best are then ranked by exact cosine distance.
 """
@@ -11,7 +12,7 @@ stored norms of the decoded vectors; the best are then ranked by exact cosine di
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ class Quantiser:
     """Sizes of the model and the search.
 
     ``sample``: vectors the codebooks are trained on at most. ``books`` codebooks of ``words`` each; ``beam``: encodings kept while encoding.
-    ``cell``: vectors a cell should hold at most, ``depth``: longest prefix. ``probes``: cells a query visits. ``rerank``: candidates ranked exactly in a cell.
+    ``cell``: vectors a cell should hold at most, ``depth``: longest prefix. ``probes``: prefixes of each length a query visits at least; more are visited until the cells hold
+    the share ``recall`` of the exact neighbours of ``trial`` queries (0: not measured). ``rerank``: candidates ranked exactly in a cell.
     """
 
     sample: int = 12000
@@ -38,6 +40,8 @@ class Quantiser:
     probes: int = 4
     rerank: int = 40
     rounds: int = 8
+    recall: float = 0.97
+    trial: int = 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -121,8 +125,9 @@ def encoded(vectors: DataFrame, books: np.ndarray, rule: Quantiser) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for b in batches:
-            for start in range(0, len(b), 1000):
-                part = b.iloc[start : start + 1000]
+            step = max(10, min(1000, 16000 // rule.beam))  # bounds the beam's arrays
+            for start in range(0, len(b), step):
+                part = b.iloc[start : start + step]
                 x = unit(np.stack(part["v"].to_numpy()).astype(np.float32))
                 code, kept = encode(x, own, rule.beam)
                 decoded = own[np.arange(len(own)), code].sum(1)
@@ -196,6 +201,51 @@ def bounded_sample(rows: DataFrame, most: int, key: str = "id") -> DataFrame:
 PAIRS = "id long, neighbour long, distance double"
 
 
+def measured_probes(coded: DataFrame, filed: DataFrame, cells: DataFrame, books: np.ndarray, k: int, least: float, limit: float, rule: Quantiser) -> int:
+    """The probes with which the cells visited hold ``rule.recall`` of the exact neighbours of some queries.
+
+    About ``rule.trial`` vectors, chosen by hash, are compared with all; each partition keeps their ``k`` best. The cells of these neighbours are looked up in the queries' beams.
+    """
+    rows = bounded_sample(coded.select("id", "v"), rule.trial).orderBy("id").collect()
+    ids, q = np.array([r.id for r in rows]), np.stack([np.frombuffer(bytes(r.v), dtype=np.float32) for r in rows])
+    sent = coded.sparkSession.sparkContext.broadcast((ids, q))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        found, dist = np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0), dtype=np.float32)
+        for b in batches:
+            if len(b):
+                own = b["id"].to_numpy()
+                d = 1 - q @ np.frombuffer(b"".join(b["v"]), dtype=np.float32).reshape(len(b), -1).T
+                d[(ids[:, None] == own[None, :]) | (d < least) | (d > limit)] = 9
+                found, dist = np.hstack([found, np.broadcast_to(own, d.shape)]), np.hstack([dist, d])
+                n = min(k, dist.shape[1])
+                top = np.argpartition(dist, n - 1, axis=1)[:, :n]
+                found, dist = np.take_along_axis(found, top, axis=1), np.take_along_axis(dist, top, axis=1)
+        keep = dist < 8
+        yield pd.DataFrame({"id": np.broadcast_to(ids[:, None], dist.shape)[keep], "neighbour": found[keep], "distance": dist[keep].astype(np.float64)})
+
+    near = filed.select("id", "v").mapInPandas(nearest, PAIRS).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("n") <= k)
+    at = near.join(filed.select(F.col("id").alias("neighbour"), F.explode("own").alias("cell")), "neighbour").join(cells.select("cell"), "cell").select("id", "cell").collect()  # k for each trial
+    if not at:
+        return rule.probes
+    most, rank = 8 * rule.words, []
+    wanted: dict[int, list[int]] = {}
+    for r in at:
+        wanted.setdefault(r.id, []).append(r.cell)
+    for i, x in zip(ids.tolist(), q):
+        if i in wanted:
+            places: dict[int, int] = {}
+            for codes in encode(x[None, :], books[: rule.depth], most)[1]:
+                for j, key in enumerate(keys_of(codes[0], rule.words).tolist()):
+                    places.setdefault(key, j)
+            rank += [places.get(c, most) for c in wanted[i]]
+    probes = rule.probes
+    while probes < most and np.mean(np.array(rank) < probes) < rule.recall:
+        probes = min(probes + max(1, probes // 4), most)
+    return probes
+
+
 def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distance: float | None = None, min_distance: float | None = None, queries: DataFrame | None = None, among: DataFrame | None = None, rule: Quantiser = Quantiser()) -> DataFrame:
     """(id, neighbour, distance): for each query row the ``k`` other rows of ``df`` nearest by cosine distance, ties by id.
 
@@ -215,7 +265,7 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     if not len(sample):
         return spark.createDataFrame([], PAIRS)
     books = train(unit(np.stack(sample["v"].to_numpy()).astype(np.float32)), rule)
-    # a class goes by its lowest id; a row with two vectors would give two classes one id, so the hash is kept
+    # a class goes by its lowest id; a row with two vectors gives two classes that share it and are searched side by side
     coded = stage(encoded(classes.select("id", "v"), books, rule), "codes")
     filed = coded
     if among is not None:
@@ -228,6 +278,8 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     top = counts.where("level = 0").select("key").join(large, "key", "left_anti")
     # vectors that share all codes of the longest prefix are cut into blocks by id, and each query visits all of them
     cells = stage(top.unionByName(below).join(counts.select("key", "n"), "key").withColumns(size).select(F.col("key").alias("cell"), "blocks"), "cells")
+    limit, least = 3.0 if max_distance is None else max_distance, -1.0 if min_distance is None else min_distance
+    probes = measured_probes(coded, filed, cells, books, k, least, limit, rule) if rule.recall > 0 else rule.probes
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     home = filed.select("id", "v", "code", "norm", "q", "scale", F.explode("own").alias("cell")).join(cells, "cell").withColumn("block", block)
     if queries is not None:
@@ -237,6 +289,14 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
         seeking = coded.join(firsts.select("id"), "id", "left_semi")
     else:
         home, seeking = home.withColumn("asks", F.lit(True)), coded
+    if probes > rule.probes:
+        v = seeking.select("id", F.col("v").alias("b"))
+
+        def floats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"id": b["id"], "v": [np.frombuffer(x, dtype=np.float32) for x in b["b"]]})
+
+        seeking = encoded(v.mapInPandas(floats, "id long, v array<float>"), books, replace(rule, probes=probes, beam=max(rule.beam, probes)))
     if among is not None:  # rows that are not filed visit their own cells too
         at_home = filed.select("id", F.lit(True).alias("filed"))
         seeking = seeking.join(at_home, "id", "left").withColumn("filed", F.coalesce("filed", F.lit(False)))
@@ -249,7 +309,6 @@ def neighbours(df: DataFrame, id_col: str, vec: str, k: int = 10, *, max_distanc
     home = home.select("cell", "block", "id", "v", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("float").alias("scale"), "code", "norm", "asks")
     both = home.unionByName(visit.select("cell", "block", "id", F.lit(None).cast("binary").alias("v"), "q", "scale", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("norm"), F.lit(True).alias("asks")))
     sent = spark.sparkContext.broadcast(books)
-    limit, least = 3.0 if max_distance is None else max_distance, -1.0 if min_distance is None else min_distance
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value

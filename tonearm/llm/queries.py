@@ -124,7 +124,7 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, column, _ in FIELDS:
         t = table(spark, d, name)
-        near = quantise.neighbours(t, "id", column, 10, queries=t.select("id").where("id % 100 = 0"), rule=quantise.Quantiser(probes=16, beam=16))
+        near = quantise.neighbours(t, "id", column, 10, queries=t.select("id").where("id % 100 = 0"), rule=quantise.Quantiser(probes=16, beam=16, recall=0.95))
         parts.append(near.select(F.lit(f"{name}.{column}").alias("vec_field"), "id", "neighbour", F.round("distance", 5).alias("distance")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -47,7 +47,7 @@ class Spectral:
     sample: int = 10000
     rounds: int = 6
     loose: float = 0.68
-    search: quantise.Quantiser = quantise.Quantiser(probes=8, rerank=128)
+    search: quantise.Quantiser = quantise.Quantiser(probes=8, rerank=128, recall=0.0)
 
 
 def affinities(near: DataFrame) -> DataFrame:
