@@ -37,10 +37,10 @@ class Quantiser:
     beam: int = 8
     cell: int = 600
     depth: int = 4
-    probes: int = 4
+    probes: int = 6
     rerank: int = 40
     rounds: int = 8
-    recall: float = 0.97
+    recall: float = 0.95
     trial: int = 256
 
 
