@@ -142,3 +142,68 @@ def test_streaming_ingest(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.path: (r.id, r.title, r.isrc, r.is_favorite) for r in current(spark, str(tmp_path / "lib")).collect()}
     assert got == {"/a": (1, "T2", "I1", True), "/b": (2, "U", None, False)}
+
+
+def test_ids_of_many_new_paths_are_distinct(spark):
+    """More new rows than a range partitioning samples in full."""
+    old = spark.createDataFrame([(7, "/a", 1.0)], "id long, path string, duration_s double")
+    new = spark.range(300_000).selectExpr("concat('/n', id) as path", "cast(id as double) as duration_s", "'t' as title")
+    out = merge.upsert_tracks(old.selectExpr("*", "'t' as title"), new)
+    r = out.selectExpr("count(*) as n", "count(distinct id) as ids", "min(id) as lo", "max(id) as hi").first()
+    assert (r.n, r.ids, r.lo, r.hi) == (300_001, 300_001, 7, 300_007)
+    first = out.where("path in ('/n0', '/n1', '/n10')").orderBy("path").collect()
+    assert [x.id for x in first] == [8, 9, 10]
+
+
+def test_a_fresh_checkpoint_goes_on_from_the_newest_version(spark, tmp_path):
+    from tonearm.streaming.ingest import current, ingest, versions
+
+    schema = "id long, path string, title string, isrc string, is_favorite boolean, duration_s double"
+    lib = str(tmp_path / "lib")
+    for v in (0, 1, 5):
+        spark.createDataFrame([(1, "/a", f"T{v}", "I1", True, 1.0)], schema).write.parquet(f"{lib}/v={v}")
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(None, "/b", "U", None, False, 2.0)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    for cp in ("one", "one", "two"):
+        ingest(spark, str(tmp_path / "in"), lib, str(tmp_path / cp)).awaitTermination(120)
+    assert versions(spark, lib) == [0, 1, 5, 6, 7]
+    assert spark.read.parquet(f"{lib}/v=1").first().title == "T1" and {r.path for r in current(spark, lib).collect()} == {"/a", "/b"}
+
+
+def test_few_rows_to_many_queries_in_parts(spark):
+    import numpy as np
+
+    from tonearm.functions.vectors import nearest_of, nearest_rows
+
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(90, 6)))] + [(500, None)], "id long, v array<double>")
+    want = sorted(map(tuple, nearest_rows(rows, rows, 4).collect()))
+    assert want == sorted(map(tuple, nearest_of(rows, rows, 4).collect())) == sorted(map(tuple, nearest_of(rows, rows, 4, block=20, most=2000).collect()))
+    assert nearest_of(rows.limit(0), rows, 4).count() == 0
+
+
+def test_review_life_cycle(spark):
+    kind = "id long, isrc string, spotify_id string, artist string, title string, album string, duration_s double, note string, rating int, role string, source string, status string, matched_path string, captured_at long"
+    row = lambda i, isrc, a, t, note, at, rating=None, s="pending", d=None: (i, isrc, None, a, t, None, d, note, rating, None, "chat", s, None, at)
+    stored = spark.createDataFrame([row(1, "i1", "A", "S", "old", 1, 3), row(2, None, "B", "T", "old", 2), row(3, None, "C", "U", "used", 3, s="applied")], kind)
+    new = spark.createDataFrame([row(1, "I1", "other", "name", "by code", 10), row(2, "i9", "b", "T (x)", "by name", 11, 5), row(3, None, "C", "U", "again", 12), row(4, None, "c", "u", "newer", 13)], kind)
+    got = {r.id: (r.note, r.rating, r.isrc, r.status) for r in identity.add_reviews(stored, new).collect()}
+    assert got[1] == ("by code", 3, "I1", "pending") and got[2] == ("by name", 5, "i9", "pending") and got[3] == ("used", None, None, "applied") and got[4][0] == "newer" and len(got) == 4
+    tracks = spark.createDataFrame([(1, "/a", "A", "S", 200.0, None, None, None, None, None, None), (2, "/a2", "A", "S", 200.0, None, None, None, None, None, None), (3, "/b", "B", "T", 100.0, None, "mine", "manual", 1, None, None), (4, "/z", "Z", "Z", 100.0, None, None, None, None, None, None)], "id long, path string, artist string, title string, duration_s double, isrc string, taste_note string, taste_source string, rating int, role string, taste_vec array<float>")
+    after, reviews = identity.drain(tracks, stored, tracks)
+    assert {r.path: (r.taste_note, r.taste_source) for r in after.collect()} == {"/a": ("old", "manual"), "/a2": (None, None), "/b": ("mine", "manual"), "/z": (None, None)}
+    assert {r.id: (r.status, r.matched_path) for r in reviews.collect()} == {1: ("applied", "/a"), 2: ("pending", None), 3: ("applied", None)}
+
+
+def test_genre_thresholds_and_plan_json(spark):
+    from tonearm.functions import replies
+
+    s = spark.createDataFrame([(k, i, 2, i / 1.0, f"/{k}{i}", "", f"x{i}", "8A", b, -10.0, 0.0) for k in (1, 2) for i, b in ((0, 100.0), (1, 110.0))], "set_id long, i int, n long, position double, path string, title string, artist string, camelot string, bpm double, lufs double, score double")
+    g = spark.createDataFrame([(1, 12.0, 0.4)], "set_id long, max_bpm_jump double, min_harmonic double")
+    assert {r.set_id: r.passed for r in sets.graded_by_genre(s, F.lit(-10.0), g).collect()} == {1: True, 2: False}
+    text = '{"brief": "b", "arc": {"name": "build", "minutes": 60, "points": [{"position": 0, "bpm": 120, "lufs": -9, "x": 1}]}, "slots": [{"path": "/a", "bpm": 120.5, "unknown": 3}], "more": {}}'
+    df = spark.createDataFrame([(text,), ("{broken",), (None,)], "j string").select(replies.plan_of(F.col("j")).alias("p"))
+    p, broken, none = (r.p for r in df.collect())
+    assert broken is None and none is None and p.slots[0].path == "/a" and p.slots[0].title is None and p.arc.points[0].lufs == -9.0
+    again = df.select(replies.plan_of(replies.plan_text(F.col("p"))).alias("p")).first().p
+    assert again == p

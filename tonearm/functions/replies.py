@@ -41,3 +41,17 @@ def shown(artist: Column, title: Column, seconds: Column) -> Column:
     s = F.rint(seconds).cast("int")
     name = F.concat_ws(" — ", F.nullif(artist, F.lit("")), F.nullif(title, F.lit("")))
     return F.when(s > 0, F.concat(name, F.lit(" ("), F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(")"))).otherwise(name)
+
+
+PLAN = "brief string, genre string, arc struct<name:string,minutes:int,points:array<struct<position:double,bpm:double,lufs:double>>>, slots array<struct<position:double,path:string,title:string,artist:string,camelot:string,bpm:double,lufs:double,cue_start_s:double,cue_end_s:double,core_start_s:double,section_label:string>>"
+
+
+def plan_of(json: Column) -> Column:
+    """A set plan from its JSON; keys unknown to the plan are dropped, missing ones are null, a broken text is null."""
+    plan = F.from_json(json, PLAN, {"mode": "PERMISSIVE"})
+    return F.when(F.try_parse_json(json).isNotNull(), plan)
+
+
+def plan_text(plan: Column) -> Column:
+    """A set plan as JSON, null fields written too, so that it reads back the same."""
+    return F.to_json(plan, {"ignoreNullFields": "false"})

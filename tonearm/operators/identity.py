@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonearm.functions import text
+from tonearm.operators.merge import label_by_hand
+from tonearm.plans.staging import numbered, stage
 
 
 def code(isrc: Column) -> Column:
@@ -53,6 +55,55 @@ def parked_once(reviews: DataFrame) -> DataFrame:
     return k.groupBy(identity.alias("identity")).agg(F.min("id").alias("id"), F.max_by("note", at).alias("note"), F.max_by("source", at).alias("source"), *(newest(c) for c in ("isrc", "rating", "role", "duration_s")), F.min("captured_at").alias("captured_at"), F.count(F.lit(1)).alias("n"))
 
 
+def add_reviews(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``stored`` parked reviews with ``new`` ones added: a second review of one identity changes the row that is there.
+
+    The identity of a waiting review is looked for by ISRC first, then by artist and title key, the newest row first. The note and source are overwritten, other fields where the new one
+    knows them; the rest gets ids above the greatest. New reviews of one identity are folded first, and of those that meet one row the newest counts.
+    """
+    columns = stored.columns
+    fresh = parked_once(new).join(new.select("id", *[c for c in columns if c not in ("id", "note", "source", "isrc", "rating", "role", "duration_s", "captured_at")]), "id")
+    k = keyed(fresh)
+    waiting = keyed(stored.where("status = 'pending'"))
+    newest = F.struct("captured_at", "id")
+    by_code = waiting.where("isrc_key is not null").groupBy("isrc_key").agg(F.max_by("id", newest).alias("c"))
+    by_name = waiting.groupBy("artist_key", "title_key").agg(F.max_by("id", newest).alias("m"))
+    met = k.join(by_code, "isrc_key", "left").join(by_name, ["artist_key", "title_key"], "left").withColumn("at", F.coalesce("c", "m"))
+    known = [c for c in ("rating", "role", "isrc", "spotify_id", "album", "duration_s") if c in columns]
+    change = met.where("at is not null").groupBy("at").agg(F.max(F.struct("captured_at", F.col("id").alias("by"), "note", "source", *known)).alias("u")).withColumnRenamed("at", "id")
+    j = stored.join(change, "id", "left")
+    hit = F.col("u").isNotNull()
+    put = {c: F.when(hit, F.col("u." + c)).otherwise(F.col(c)) for c in ("note", "source")} | {c: F.coalesce(F.col("u." + c), F.col(c)) for c in known}
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = numbered(met.where("at is null").select(*(c for c in columns if c not in ("id", "status")), F.lit("pending").alias("status")), [F.col("captured_at"), F.col("artist"), F.col("title")], "id", top)
+    return j.withColumns(put).select(*columns).unionByName(added.select(*columns))
+
+
+def mark_applied(reviews: DataFrame, applied: DataFrame) -> DataFrame:
+    """``reviews`` with those in ``applied`` (id, path) taken out of the waiting ones."""
+    a = applied.groupBy("id").agg(F.min("path").alias("__path"))
+    j = reviews.join(a, "id", "left")
+    return j.withColumns({"status": F.when(F.col("__path").isNotNull(), "applied").otherwise(F.col("status")), "matched_path": F.coalesce("__path", "matched_path")}).select(*reviews.columns)
+
+
+def drain(tracks: DataFrame, reviews: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Waiting reviews written onto the files that arrived (their ``path``), where the match is confident: (tracks, reviews) after it.
+
+    A file labelled by hand keeps its label and leaves the review waiting; a review that means several files goes to the one of lowest id. A review's own ``taste_vec`` is written if it has that column, else none.
+    """
+    open_ = tracks.join(arrived.select("path").distinct(), "path", "left_semi").where("coalesce(taste_source, '') <> 'manual'")
+    waiting = reviews.where("status = 'pending'")
+    met = find_match(waiting, open_).where("confident").join(open_.select(F.col("id").alias("track_id"), "path"), "track_id")
+    one = stage(met.groupBy("review_id").agg(F.min_by("path", "track_id").alias("path")), "met")
+    vec = F.col("taste_vec") if "taste_vec" in reviews.columns else F.lit(None).cast(tracks.schema["taste_vec"].dataType)
+    labels = one.join(waiting.select(F.col("id").alias("review_id"), F.col("note").alias("taste_note"), vec.alias("taste_vec"), "rating", "role"), "review_id")
+    return label_by_hand(tracks, labels), mark_applied(reviews, one.select(F.col("review_id").alias("id"), "path"))
+
+
+# Words that a result must not have unless the request has them.
+OTHER_TAKES = ("live", "sped up", "slowed", "music video", "reaction", "cover")
+
+
 def pick_best(results: DataFrame, tolerance: float = 25.0) -> DataFrame:
     """The search result likeliest to be the recording asked for, one row a request: (request_id, id, score).
 
@@ -64,6 +115,6 @@ def pick_best(results: DataFrame, tolerance: float = 25.0) -> DataFrame:
     score = F.when(F.col("target_s").isNull(), 0.0).when(~known, -50.0).otherwise(-delta - F.when(delta > tolerance, 500.0).otherwise(0.0))
     score += F.when(F.coalesce("uploader", F.lit("")).endswith(" - Topic"), 30.0).otherwise(0.0)
     score += F.when(title.contains("official audio"), 20.0).when(title.rlike(r"\baudio\b"), 10.0).otherwise(0.0)
-    for token in ("live", "sped up", "slowed", "music video", "reaction", "cover"):
+    for token in OTHER_TAKES:
         score -= F.when(title.rlike(rf"\b{token}\b") & ~want.rlike(rf"\b{token}\b"), 40.0).otherwise(0.0)
     return results.where("id is not null and id <> ''").withColumn("score", score).groupBy("request_id").agg(F.min_by(F.struct("id", "score"), F.struct(-F.col("score"), "ord")).alias("b")).select("request_id", "b.id", "b.score")

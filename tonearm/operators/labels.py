@@ -19,7 +19,7 @@ def untagged(tracks: DataFrame) -> DataFrame:
 
 def _near(tracks: DataFrame, k: int) -> DataFrame:
     own = corpus(tracks)
-    near = vectors.nearest_rows(own.select("id", F.col("embedding").alias("v")), untagged(tracks).select("id", F.col("embedding").alias("v")), k)
+    near = vectors.nearest_of(own.select("id", F.col("embedding").alias("v")), untagged(tracks).select("id", F.col("embedding").alias("v")), k)
     return near.join(own.select("id", "taste_vec", "rating"), "id").withColumn("sim", 1 - F.col("distance"))
 
 

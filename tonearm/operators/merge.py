@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.plans.staging import numbered, stage
+
 KEPT = ["id", "taste_note", "taste_vec", "taste_source", "taste_confidence", "rating", "role", "created_at"]
 
 
@@ -33,20 +35,10 @@ def upsert_tracks(old: DataFrame, new: DataFrame) -> DataFrame:
     merged = j.select(*cols)
     if "id" not in old.columns:
         return merged
+    merged = stage(merged, "merged")
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = merged.where("id is null").drop("id")
-    # ids by position in partitions of the sorted paths: no single task numbers all rows
-    ordered = fresh.repartitionByRange("path").sortWithinPartitions("path").withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    counts = {r["__p"]: r["n"] for r in ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).orderBy("__p").collect()}
-    start, offsets = top, []
-    for p, n_rows in counts.items():
-        offsets.append((p, start))
-        start += n_rows
-    if not offsets:
-        return merged
-    base = old.sparkSession.createDataFrame(offsets, "__p int, __start long")
-    numbered = ordered.join(F.broadcast(base), "__p").withColumn("id", F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)  # a row per partition
-    return merged.where("id is not null").unionByName(numbered.select(*merged.columns))
+    fresh = numbered(merged.where("id is null").drop("id"), [F.col("path")], "id", top)
+    return merged.where("id is not null").unionByName(fresh.select(*merged.columns))
 
 
 def replace_sections(old: DataFrame, new: DataFrame) -> DataFrame:

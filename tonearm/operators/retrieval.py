@@ -28,8 +28,8 @@ def where(bpm: tuple[float, float] | None = None, camelot: set[str] | None = Non
         cond &= F.col("camelot").isin(*sorted(camelot))
     if favourite:
         cond &= F.col("is_favorite")
-    for p in [*(exclude_paths or []), *([exclude_path] if exclude_path else [])]:
-        cond &= F.col("path") != p
+    if left_out := [*(exclude_paths or []), *([exclude_path] if exclude_path else [])]:
+        cond &= ~F.col("path").isin(*left_out)
     return cond
 
 

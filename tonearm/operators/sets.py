@@ -84,6 +84,35 @@ def report(s: DataFrame, target: Column, th: Thresholds = Thresholds()) -> DataF
     return r.withColumn("passed", ok)
 
 
+def graded_by_genre(s: DataFrame, target: Column, genres: DataFrame) -> DataFrame:
+    """``report`` with the greatest jump and least harmony of each set's genre: ``genres`` has (set_id, max_bpm_jump, min_harmonic), sets without one keep the defaults."""
+    th = Thresholds()
+    g = genres.select("set_id", F.col("max_bpm_jump").alias("__jump"), F.col("min_harmonic").alias("__harmonic"))
+    r = report(s, target, th).join(g, "set_id", "left")
+    ok = (F.col("harmonic") >= F.coalesce("__harmonic", F.lit(th.min_harmonic))) & (F.col("max_bpm_jump") <= F.coalesce("__jump", F.lit(th.max_bpm_jump))) & (F.col("arc_rmse") <= th.max_rmse) & (F.col("repeats") <= th.max_repeats)
+    return r.withColumn("passed", ok).drop("__jump", "__harmonic")
+
+
+def journey(s: DataFrame) -> DataFrame:
+    """(set_id, n, keys, open_bpm, open_lufs, peak, peak_bpm, peak_lufs, close_bpm, close_lufs, lift): how each set goes.
+
+    ``keys``: different keys; ``peak``: the first slot of greatest loudness; ``lift``: the first slot that the next one lifts by an energy boost, null without.
+    """
+    nxt = F.lead("camelot").over(Window.partitionBy("set_id").orderBy("i"))
+    t = s.withColumn("__lift", F.when(keys.energy_boost(F.col("camelot"), nxt), F.col("i")))
+    at = lambda f, c: f(c, "i").alias(("open_" if f is F.min_by else "close_") + c)
+    top = F.max(F.struct("lufs", (-F.col("i")).alias("k"), "bpm"))
+    a = t.groupBy("set_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("camelot").alias("keys"), at(F.min_by, "bpm"), at(F.min_by, "lufs"), at(F.max_by, "bpm"), at(F.max_by, "lufs"), top.alias("__top"), F.min("__lift").alias("lift"),
+    )
+    return a.select("set_id", "n", "keys", "open_bpm", "open_lufs", (-F.col("__top.k")).alias("peak"), F.col("__top.bpm").alias("peak_bpm"), F.col("__top.lufs").alias("peak_lufs"), "close_bpm", "close_lufs", "lift")
+
+
+def slots_for(minutes: Column, average: Column | float = 3.5, least: int = 4, most: int = 40) -> Column:
+    """How many tracks fill ``minutes``, half to even, within bounds."""
+    return F.least(F.greatest(F.rint(minutes / (F.lit(average) if isinstance(average, float) else average)), F.lit(float(least))), F.lit(float(most))).cast("int")
+
+
 def crossfades(s: DataFrame, length: Column, target: Column, max_bars: Column, max_stretch: Column) -> DataFrame:
     """(set_id, i, bars, target_bpm, crossfade_s): how neighbours are mixed.
 

@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
+    """``df`` with ``name``: the place of each row in the order of ``order``, from ``start + 1``.
+
+    Rows are range-partitioned and sorted, and written once with their partition and place in it: a second range partitioning would draw other bounds. Then the partitions' sizes, a
+    row each, give the offsets, so no task numbers all rows.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()})
+    rows = stage(sorted_, "numbered")
+    offsets, at = [], start
+    for r in rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).orderBy("__p").collect():
+        offsets.append((r["__p"], at))
+        at += r["n"]
+    base = df.sparkSession.createDataFrame(offsets, "__p int, __start long")
+    return rows.join(F.broadcast(base), "__p").withColumn(name, F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__p", "__m", "__start")  # a row per partition
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table (a file or a folder) of a data directory."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

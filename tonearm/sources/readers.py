@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.plans.staging import numbered
+
 HISTORY = "brief string, approved boolean, captured_at double, paths array<string>, plan struct<arc:string, genre:string, slots:array<struct<position:double,path:string,title:string,artist:string,camelot:string,bpm:double,lufs:double>>>"
 DETECTOR = "bpm double, beats array<double>, downbeats array<double>, segments array<struct<start:double, `end`:double, label:string>>"
 
@@ -32,6 +34,11 @@ def recent_paths(log: DataFrame, within: int = 3, approved_only: bool = False) -
     return last.select(F.explode("paths").alias("path")).distinct()
 
 
+def without_recent(tracks: DataFrame, log: DataFrame, within: int = 3) -> DataFrame:
+    """``tracks`` without those of the last ``within`` sets."""
+    return tracks.join(recent_paths(log, within), "path", "left_anti").select(*tracks.columns)
+
+
 def detected(json_column: DataFrame, column: str = "json") -> DataFrame:
     """Detector JSON parsed; a missing tempo comes from the median gap of the downbeats."""
     d = json_column.withColumn("d", F.from_json(column, DETECTOR)).select(*[c for c in json_column.columns if c != column], "d.*")
@@ -53,4 +60,4 @@ def playlist_entries(payload: DataFrame, column: str = "json") -> DataFrame:
 
 def newest_first(reviews: DataFrame) -> DataFrame:
     """Each parked review with its place, the newest first."""
-    return reviews.where("status = 'pending'").withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(F.col("captured_at").desc(), "id")))
+    return numbered(reviews.where("status = 'pending'"), [F.col("captured_at").desc(), F.col("id")], "place").withColumn("place", F.col("place").cast("int"))
