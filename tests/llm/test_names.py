@@ -80,3 +80,27 @@ def test_letter_model_against_counts(spark):
             want[w] += math.log((four[g] - 1 + 3 * p3) / (s4[g[:3]] - 1 + 3))
     got = {r.w: r.own for r in letter_model(spark.createDataFrame([(w,) for w in words], "w string")).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[w], want[w], rel_tol=1e-9) for w in want)
+
+
+def test_typos_that_recur_in_many_names_stay_typos(spark):
+    """The same misspelling of a frequent word turns up under many names in a large table; a word of its own does so too, but without the frequent word in its place."""
+    family = [a + b for a in ("Walen", "Skao", "Vealo", "Boro", "Nemi", "Kalev", "Musin", "Trio") for b in ("quist", "bysk", "dorn", "fax", "mund")]
+    rows, truth = [], {}
+
+    def add(text, n, entity):
+        rows.append((len(rows) + 1, text, n))
+        truth[len(rows)] = entity
+
+    for k, w in enumerate(family):
+        add(f"Giuseppe {w}", 5, f"giuseppe {w}")
+        if k % 6 == 0:
+            add(f"Guiseppe {w}", 2, f"giuseppe {w}")
+    for k, w in enumerate(family):
+        add(f"Tavelo {w}", 4, f"tavelo {w}")
+        if k % 4 == 0:
+            add(f"Tabelo {w}", 3, f"tabelo {w}")
+    for w in ("Ingomda", "Ludanlund", "Halorsen", "Ostevner", "Umbessel", "Cresholt", "Dulirlas", "Hrouner", "Jasodwick", "Loronquist", "Pelamund", "Rudalby", "Sabivro", "Voramdal", "Xanobzek"):
+        add(f"Tabelo {w}", 3, f"tabelo {w}")
+    out = linked(spark.createDataFrame(rows, "credit_id long, credit string, n_rows int"))
+    got = {(r.credit_a, r.credit_b) for r in entity_pairs(out).collect()}
+    assert got == {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}

@@ -5,7 +5,8 @@ two partners; forms that differ in case, accents, order, articles, joiners, midd
 known abbreviations alone fall into one class. Frequent classes are the candidate canonical forms. A
 rarer class is a variant of the candidate ``c`` with the greatest posterior: the frequency prior of ``c`` times the likelihood of
 its typos, abbreviation, nickname or initial, against the chance that the spelling is a name of its own, which a letter model
-of all names gives (leaving the spelling itself out). Posteriors are normalised over all candidates and the name of its own. Candidates come from equal
+of all names gives (leaving the spelling itself out), or other names with the same word. A typo of a frequent word recurs in a large table, under as many names as there
+is room for; so only those names show a word to be one in whose place there is no like name with a far more common word. Posteriors are normalised over all candidates and the name of its own. Candidates come from equal
 deletion keys, stems of abbreviations, nicknames and initials, so no two spellings are compared that share no key.
 """
 
@@ -16,11 +17,13 @@ import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.llm.lookalike import canonical
 from tonearm.plans.staging import spread, stage
@@ -43,6 +46,8 @@ KINDS = {
     "assembly": "assy", "band": "bnd", "brothers": "bros", "choir": "chr", "collective": "coll collect", "company": "co", "department": "dept", "ensemble": "ens", "foundation": "fdn found", "machine": "mach", "orchestra": "orch",
     "project": "proj prj", "quartet": "4tet qt qrt", "quintet": "5tet", "sisters": "sis", "society": "soc", "soundsystem": "ss sndsys", "trio": "3o", "unit": "unt", "workshop": "wkshp wksp", "duo": "2o", "group": "grp", "sextet": "6tet", "singers": "sgrs",
 }
+# How many times as common as a word the one is that it may be a typo or an abbreviation of, in all the names that have it.
+COMMONER_MEANT, COMMONER_FULL = 5, 2
 KIND = {a: k for k, v in KINDS.items() for a in (k, *v.split())}
 
 _WORD = regex.compile(r"[^\s,.&+\-]+")
@@ -312,21 +317,49 @@ def linked(credits: DataFrame, id_col: str = "credit_id", text: str = "credit",
     left = side.select("cid", *(F.col(c).alias("v_" + c) for c in both_sides))
     right = side.select(F.col("cid").alias("other"), *(F.col(c).alias("c_" + c) for c in both_sides))
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["differ"] = [differing(r) for r in b.itertuples()]
+            yield b[b["differ"] >= 0]
+
+    compared = candidates.join(left, "cid").join(right, "other")
+    compared = stage(compared.mapInPandas(compare, T.StructType([*compared.schema.fields, T.StructField("differ", T.LongType())])), "compared")
+    # names with a word in whose place a like name has a far more common one: those of a mistyped word nearly all are such, those of a word of its own only by chance
+    commoner = lambda differ, k, a, b, times: (F.col("differ") == differ) & (F.col(f"{b}_s{k}") >= times * F.col(f"{a}_s{k}"))
+    like = [
+        compared.where(commoner(k, k, a, b, COMMONER_MEANT) | commoner(k + 2, k, a, b, COMMONER_FULL)).select(F.col(i).alias("cid"), F.lit(k).alias("slot"), F.col(f"{a}_{c}").alias("w"))
+        for k, c in ((1, "first"), (2, "last"))
+        for i, a, b in (("cid", "v", "c"), ("other", "c", "v"))
+    ]
+    like = stage(reduce(DataFrame.unionByName, like).distinct(), "like")
+    uses = stage(like.groupBy("w").agg(F.count(F.lit(1)).alias("k")), "uses")
+    used = side.select("cid", "first", "last").join(like.groupBy("cid").agg(*(F.max((F.col("slot") == k).cast("long")).alias(f"e{k}") for k in (1, 2))), "cid", "left")
+    for c, k in (("first", "1"), ("last", "2")):
+        used = used.join(uses.select(F.col("w").alias(c), F.col("k").alias("k" + k)), c, "left")
+    used = used.na.fill(0, ["k1", "k2", "e1", "e2"]).select("cid", *((F.col(f"k{k}") - F.col(f"e{k}")).alias(f"k{k}") for k in (1, 2)))
+    used = stage(used.where("k1 > 0 or k2 > 0"), "used")
+
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples():
-                gain = posterior(r, channel)
-                if gain is not None and gain > -20:
-                    out.append((r.cid, r.other, min(gain, 200.0)))
-            yield pd.DataFrame(out, columns=["cid", "other", "gain"])
-
-    weighed = candidates.join(left, "cid").join(right, "other").mapInPandas(weigh, "cid long, other long, gain double")
-    # the best candidate, and its share of the posterior beside all others and a name of its own, whose log-odds are 0
-    top = stage(weighed, "weighed").groupBy("cid").agg(F.max(F.struct("gain", (-F.col("other")).alias("o"))).alias("top"), F.sum(F.exp("gain")).alias("all"))
+                up, down = log_odds(r, channel)
+                out += [(x, y, g, k) for x, y, g, k in ((r.cid, r.other, up, True), (r.other, r.cid, down, False)) if g is not None and g > -20]
+            yield pd.DataFrame([(x, y, min(g, 200.0), k) for x, y, g, k in out], columns=["cid", "other", "gain", "up"])
+
+    of = lambda i, a: used.select(F.col("cid").alias(i), F.col("k1").alias(a + "_k1"), F.col("k2").alias(a + "_k2"))
+    weighed = compared.join(of("cid", "v"), "cid", "left").join(of("other", "c"), "other", "left").na.fill(0, ["v_k1", "v_k2", "c_k1", "c_k2"])
+    weighed = stage(weighed.mapInPandas(weigh, "cid long, other long, gain double, up boolean"), "weighed")
+    # the best name meant, and its share of the posterior beside all others and a name of its own, whose log-odds are 0
+    best_of = lambda only: F.max(F.when(only, F.struct("gain", (-F.col("other")).alias("o"), "up")))
+    top = stage(weighed.groupBy("cid").agg(best_of(F.lit(True)).alias("top"), best_of(F.col("up")).alias("above"), F.sum(F.exp("gain")).alias("all"), F.coalesce(F.sum(F.when(F.col("up"), F.exp("gain"))), F.lit(0.0)).alias("all_above")), "top")
+    # a mistyped name that ranks above the one meant points down to it, but only if that one points nowhere; else to the best above it
+    down = top.where("top.gain > 0 and not top.up").select("cid", (-F.col("top.o")).alias("meant"))
+    fixed = down.join(top.where("top.gain > 0").select(F.col("cid").alias("meant")), "meant", "left_anti").select("cid", F.lit(True).alias("down"))
+    top = top.join(fixed, "cid", "left").withColumn("top", F.when(F.col("down"), F.col("top")).otherwise(F.col("above"))).withColumn("all", F.when(F.col("down"), F.col("all")).otherwise(F.col("all_above")))
     share = (F.when(F.col("top.gain") > 0, F.exp("top.gain")).otherwise(1.0) / (1 + F.col("all"))).alias("posterior")
     chosen = stage(top.select("cid", F.when(F.col("top.gain") > 0, -F.col("top.o")).otherwise(F.col("cid")).alias("other"), share), "chosen")
-    # each class points to one that ranks above it, so following the pointers ends
+    # each class points to one that ranks above it or to one that points nowhere, so following the pointers ends
     roots = classes.select("cid").join(chosen, "cid", "left").select("cid", F.coalesce("other", "cid").alias("root"), F.coalesce("posterior", F.lit(1.0)).alias("posterior"))
     roots = stage(roots, "roots")
     for _ in range(20):
@@ -351,34 +384,54 @@ def rank_of(n: float, form: str, first: str, cid: int) -> tuple:
     return full, n, -cid
 
 
-def posterior(r, ch: Channel) -> float | None:
-    """Log-odds that the spelling of ``r.cid`` is a variant of ``r.other``; None if that one ranks lower or cannot be it."""
-    if r.v_form != r.c_form or rank_of(r.c_n, r.c_form, r.c_first, r.other) <= rank_of(r.v_n, r.v_form, r.v_first, r.cid):
-        return None
+def log_odds(r, ch: Channel) -> tuple[float | None, float | None]:
+    """Log-odds that the spelling of ``r.cid`` is a variant of ``r.other``, which ranks above it, and that ``r.other`` is the mistyped or shortened one of the two; None if it cannot be."""
     prior = math.log(r.c_n + 1)
     v, c = (r.v_first, r.v_last), (r.c_first, r.c_last)
     if v[1] == c[1] and r.v_form == "p":
         if len(v[0]) == 1:
-            return prior + 4 - ch.initial if c[0].startswith(v[0]) else None
+            return prior + 4 - ch.initial if c[0].startswith(v[0]) else None, None
         if c[0] in FULL.get(v[0], ()):
-            return prior + 4 - ch.nickname
+            return prior + 4 - ch.nickname, None
     if folded(*v) == folded(*c):
-        return prior + 4 - ch.transliteration
-    # the more frequent spelling may be the mistyped or shortened one, so either may stand for the name meant
-    sides = ((v, c, (r.v_s1, r.v_s2), (r.v_o1, r.v_o2), r.c_n), (c, v, (r.c_s1, r.c_s2), (r.c_o1, r.c_o2), r.v_n))
-    gains = [f(*x, ch) for x in sides for f in (_typo, _abbreviation if r.v_form == "p" else _typo)]
-    return max((g for g in gains if g is not None), default=None)
+        return prior + 4 - ch.transliteration, None
+    sides = ((v, c, (_others(r.v_s1, r.v_k1), _others(r.v_s2, r.v_k2)), (r.v_o1, r.v_o2), r.c_n), (c, v, (_others(r.c_s1, r.c_k1), _others(r.c_s2, r.c_k2)), (r.c_o1, r.c_o2), r.v_n))
+    gains = [max((g for f in (_typo, _abbreviation if r.v_form == "p" else _typo) if (g := f(*x, ch)) is not None), default=None) for x in sides]
+    return gains[0], gains[1]
+
+
+def differing(r) -> int:
+    """Which part of two names alone differs (0 where both do), and how: 1 and 2 by one typo, 3 and 4 by an abbreviation, 5 and 6 otherwise; -1 if they can't be one name or the second ranks lower."""
+    v, c = (r.v_first, r.v_last), (r.c_first, r.c_last)
+    if r.v_form != r.c_form or rank_of(r.c_n, r.c_form, r.c_first, r.other) <= rank_of(r.v_n, r.v_form, r.v_first, r.cid):
+        return -1
+    same = folded(*v) == folded(*c)
+    off = [k for k in (0, 1) if v[k] != c[k]]
+    if len(off) != 1:
+        return 0 if same or all(min(len(a), len(b)) >= 4 for a, b in zip(v, c)) and sum(edits(a, b) for a, b in zip(v, c)) <= 2 else -1
+    k, (a, b) = off[0] + 1, (v[off[0]], c[off[0]])
+    e = edits(a, b) if min(len(a), len(b)) >= 4 else 3
+    if e == 1 or same:
+        return k
+    if r.v_form == "p" and (abbreviates(a, b) is not None or abbreviates(b, a) is not None):
+        return k + 2
+    return k + 4 if e == 2 or r.v_form == "p" and k == 1 else -1
+
+
+def _others(support: int, like: int) -> float:
+    """How many other names show that a word is one: those without a like name that has a far more common word in its place, less a third of those with one."""
+    return support - 1 - like - like / 3
 
 
-def _own(seen: int, letters: float) -> float:
-    """Chance of a word as a name of its own: how many other names have it, or what its letters make likely."""
-    return max(math.log(seen - 1) - 3.0 if seen > 1 else -99.0, letters)
+def _own(others: float, letters: float) -> float:
+    """Chance of a word as a name of its own: how many other names show it, or what its letters make likely."""
+    return max(math.log(others) - 3.0 if others > 0 else -99.0, letters)
 
 
-def _typo(v: tuple[str, str], c: tuple[str, str], seen: tuple[int, int], letters: tuple[float, float], n: float, ch: Channel) -> float | None:
+def _typo(v: tuple[str, str], c: tuple[str, str], others: tuple[float, float], letters: tuple[float, float], n: float, ch: Channel) -> float | None:
     """Log-odds that ``v`` is ``c`` mistyped, against ``v`` as a name of its own."""
     gain, changed = math.log(n + 1) - ch.own, 0
-    for a, b, s, own in zip(v, c, seen, letters):
+    for a, b, s, own in zip(v, c, others, letters):
         if a == b:
             continue
         e = edits(a, b)
@@ -389,12 +442,12 @@ def _typo(v: tuple[str, str], c: tuple[str, str], seen: tuple[int, int], letters
     return gain if changed else None
 
 
-def _abbreviation(v: tuple[str, str], c: tuple[str, str], seen: tuple[int, int], letters: tuple[float, float], n: float, ch: Channel) -> float | None:
+def _abbreviation(v: tuple[str, str], c: tuple[str, str], others: tuple[float, float], letters: tuple[float, float], n: float, ch: Channel) -> float | None:
     """Log-odds that ``v`` is ``c`` with one part abbreviated, against ``v`` as a name of its own."""
     off = [k for k in (0, 1) if v[k] != c[k]]
     if len(off) != 1 or (doubt := abbreviates(v[off[0]], c[off[0]])) is None:
         return None
-    return math.log(n + 1) - ch.own - ch.abbreviation - 2 * doubt * ch.doubt - _own(seen[off[0]], letters[off[0]]) - 4.0
+    return math.log(n + 1) - ch.own - ch.abbreviation - 2 * doubt * ch.doubt - _own(others[off[0]], letters[off[0]]) - 4.0
 
 
 def entity_pairs(links: DataFrame) -> DataFrame:
